@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from isotab.llm.bpe import encode_decode
 from isotab.llm.exact_dedup import exact_dedup
+from isotab.llm.packing import pack_documents
 from isotab.llm.sharding import shard_by_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,3 +43,21 @@ def op9_exact_dedup(spark, sf_dir):
 @query()
 def op10_sharding(spark, sf_dir):
     return shard_by_bytes(table(spark, sf_dir, "documents"))
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query()
+def op1_bpe(spark, sf_dir):
+    coded = encode_decode(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query()
+def op2_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
