@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from isotab.llm.bpe import encode_decode
 from isotab.llm.exact_dedup import exact_dedup
+from isotab.llm.html_text import extract
 from isotab.llm.packing import pack_documents
+from isotab.llm.quality import classify
 from isotab.llm.sharding import shard_by_bytes
+from isotab.llm.topk import top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +64,21 @@ def op1_bpe(spark, sf_dir):
 @query()
 def op2_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
+@query()
+def op3_quality(spark, sf_dir):
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+SELECT * FROM r WHERE rank <= 20""")
+def op5_topk(spark, sf_dir):
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query()
+def op6_html(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
