@@ -127,9 +127,10 @@ def _searched(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            floors = [None if pd.isna(x) else int(x) for x in right["floor"]]
-            out = search(left["id"].to_numpy(), np.stack(left["v"].to_list()), right["id"].to_numpy(), np.stack(right["v"].to_list()), floors, k)
+            floors = [None if pd.isna(x) else int(x) for x in right["q_floor"]]
+            out = search(left["id"].to_numpy(), np.stack(left["v"].to_list()), right["q_id"].to_numpy(), np.stack(right["q_v"].to_list()), floors, k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"], dtype="int64")
 
     key = ["shard", "block", "dim"]
-    return rows.groupBy(*key).cogroup(queries.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score long")
+    apart = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    return rows.groupBy(*key).cogroup(apart.groupBy(*[f"q_{c}" for c in key])).applyInPandas(run, "query_id long, vec_id long, score long")
