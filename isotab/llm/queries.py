@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from isotab.llm.bpe import encode_decode
 from isotab.llm.exact_dedup import exact_dedup
 from isotab.llm.html_text import extract
+from isotab.llm.near_join import near_join
 from isotab.llm.packing import pack_documents
 from isotab.llm.quality import classify
 from isotab.llm.sharding import shard_by_bytes
@@ -82,3 +83,8 @@ def op5_topk(spark, sf_dir):
 @query()
 def op6_html(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op4_near_join(spark, sf_dir):
+    return near_join(table(spark, sf_dir, "documents"))
