@@ -30,7 +30,7 @@ CACHE_ITEMS, CACHE_CHARS = 600_000, 64
 #: Symbols in one index.
 INDEX_SYMBOLS = 200_000
 #: Characters for which Python and the tokenizer agree on space, case and composition.
-_COMMON = re.compile("[^\t-\r -~\xa1-įı-ɏ‐-‧‰-⁞₠-₿]")
+_COMMON = re.compile("[^\t-\r -~\xa1-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d"
 
 

@@ -38,7 +38,7 @@ _PLACE = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uin
 _MIX = _RANDOM.integers(1, 2**63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = np.stack([_RANDOM.choice(SIZE, ROWS, replace=False) for _ in range(BANDS)])
 _BASE = 0x9E3779B97F4A7C15
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from isotab.llm.bpe import encode_decode
 from isotab.llm.exact_dedup import exact_dedup
 from isotab.llm.html_text import extract
+from isotab.llm.licences import scan
+from isotab.llm.line_dedup import dedup_lines
 from isotab.llm.near_join import near_join
 from isotab.llm.packing import pack_documents
 from isotab.llm.quality import classify
@@ -88,3 +90,14 @@ def op6_html(spark, sf_dir):
 @query()
 def op4_near_join(spark, sf_dir):
     return near_join(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_line_dedup(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_licences(spark, sf_dir):
+    """Documents stand as files, each in the directory of its source."""
+    return scan(table(spark, sf_dir, "documents"), F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.col("doc_id").cast("string")))
