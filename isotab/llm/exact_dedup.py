@@ -2,7 +2,8 @@
 
 Sampled splitters (Spark's range partitioner, over a bounded prefix and a hash of the normalised text, so that the
 sample stays small) deal the texts out by range; Spark's external sort then puts equal texts side by side, and the
-window operator compares neighbours byte by byte. The text crosses the network once.
+window operator compares neighbours byte by byte. The text is read three times (counts of hashes, splitters, sort) and
+crosses the network once; what comes of it is checkpointed without the text.
 
 A text that many rows share would land in one task. Counts by hash, combined before their shuffle, tell which hashes
 exceed 1/8 of a partition's share; there are at most 8 per partition, so the list has a proven bound and is broadcast.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from isotab.llm.common import parallelism
+from isotab.llm.common import checkpointed, parallelism
 
 # Fixed value: the characters that don't count in a comparison, [\x20\x09-\x0D].
 IGNORED = " \t\n\x0b\x0c\r"
@@ -43,8 +44,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ordered = group.orderBy(F.desc("n"), F.asc_nulls_last("doc_id"))
     every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     local = dealt.select("doc_id", "norm", "salt", F.first("doc_id").over(every).alias("keep_id"), F.first("n").over(every).alias("keep_n"), F.count(F.lit(1)).over(every).alias("group_size"), F.row_number().over(ordered).alias("place"))
-    local = local.select("*", F.sha2("norm", 256).alias("text_sha256"))
-    # A row for each salt of a hot text: at most 16 per partition.
+    # Kept without the text, but for one row of each salt of a hot text: at most 16 per partition.
+    keeper = F.when((F.col("salt") >= 0) & (F.col("place") == 1), F.col("norm"))
+    local = checkpointed(local.select("doc_id", "salt", "keep_id", "keep_n", "group_size", "place", F.sha2("norm", 256).alias("text_sha256"), keeper.alias("norm")))
     keepers = local.where("salt >= 0 and place = 1").select("norm", "text_sha256", "salt", "keep_id", "keep_n", "group_size")
     same = Window.partitionBy("norm")
     best = same.orderBy(F.desc("keep_n"), F.asc_nulls_last("keep_id"), "salt")
