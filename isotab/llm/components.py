@@ -9,9 +9,9 @@ from isotab.llm.common import checkpointed
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint without any known partitioning: a join with it shuffles both sides, so that Spark can split
-    the partition of a hot key."""
-    return checkpointed(df.repartition(df.sparkSession.sparkContext.defaultParallelism))
+    """A checkpoint in partitions of the advised size and without any known partitioning: a join with it shuffles
+    both sides, so that Spark can split the partition of a hot key."""
+    return checkpointed(df.hint("rebalance"))
 
 
 def components(edges: DataFrame) -> DataFrame:
