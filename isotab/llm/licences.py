@@ -1,8 +1,8 @@
 """Licences of files, by sparse TF-IDF cosines to templates and inheritance from directories.
 
 Weights are term frequency times inverse document frequency, the latter counted over all files. For each template, the
-heaviest words are its anchors: so many that a passage without any of them can't reach the threshold. Passages of the template's length
-around each anchor in a file (and the line that holds it, where that is shorter) are compared with the template, so
+heaviest words are its anchors: so many that a passage without any of them can't reach the threshold. All passages of
+the template's length that hold an anchor (and its line, where that is shorter) are compared with the template, so
 headers are found wherever they stand and the other text isn't weighed.
 
 A file without a licence of its own gets that of the nearest directory above it that has a licence file: a path join of
@@ -66,7 +66,7 @@ class Template:
     words: list[str]
     weights: dict[str, float]
     norm: float
-    anchors: dict[str, list[int]]  # word -> its places
+    anchors: set[str]
 
 
 class Matcher:
@@ -81,11 +81,11 @@ class Matcher:
             words = tokens(text)
             weights = {t: n * self.idf[t] for t, n in Counter(words).items()}
             norm = math.sqrt(sum(w * w for w in weights.values()))
-            left, anchors = norm * norm, {}
+            left, anchors = norm * norm, set()
             for t in sorted(weights, key=lambda t: (-weights[t], t)):
                 if left < (threshold * norm) ** 2 * 0.999:
                     break
-                anchors[t] = [i for i, w in enumerate(words) if w == t]
+                anchors.add(t)
                 left -= weights[t] ** 2
             self.templates.append(Template(name, words, weights, norm, anchors))
         self.by_anchor: dict[str, list[Template]] = {}
@@ -114,7 +114,7 @@ class Matcher:
             a = b = None
             for t in self.by_anchor[words[i]]:
                 n = len(t.words)
-                spans = [(max(0, i - p), min(len(words), i - p + n)) for p in t.anchors[words[i]]]
+                spans = [(s, min(len(words), s + n)) for s in range(max(0, i - n + 1), max(0, min(i, len(words) - n)) + 1)]
                 if a is None:  # the line of the anchor, as words
                     begin, end = low.rfind("\n", 0, starts[i]) + 1, low.find("\n", starts[i])
                     a, b = i, i + 1
