@@ -9,38 +9,36 @@ from pyspark.sql import functions as F
 
 from isotab.llm.common import checkpointed
 from isotab.llm.components import settled
-from isotab.llm.line_dedup import dedup_lines
+from isotab.llm.line_dedup import without_copies
 from isotab.llm.near_join import near_join
 from isotab.llm.packing import pack_documents
-from isotab.llm.quality import score, train
+from isotab.llm.quality import train, with_score
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts, in their own columns. A text that is NULL is scored as an empty one."""
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rated = score(docs, model).where("score < 0.5").select("id", "text_hash").distinct()
-    return _less(docs, rated)
+    rated, score = with_score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return rated.where(F.col(score) >= 0.5).drop(score)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated lines. One that is left without words goes: all of it stands elsewhere."""
-    kept = dedup_lines(docs).select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), "text_hash", "n_lines", "n_removed")
-    changed = kept.where("n_removed > 0").dropDuplicates(["_id", "text_hash"])
-    joined = docs.join(changed, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("text_hash")), "left")
-    joined = joined.where(F.col("n_removed").isNull() | (F.col("n_removed") < F.col("n_lines")))
-    text = F.when(F.col("n_removed") > 0, F.col("_text")).otherwise(docs["text"])
-    columns = [text.alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return joined.select(*columns)
+    kept = without_copies(docs).where("n_removed = 0 or n_removed < n_lines")
+    columns = ["text" if c == "text" else F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("row.n_chars")).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
+    return kept.select(*columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id; repeated rows of it count once."""
+    """Of each group of near duplicates, the document with the smallest id. Rows that repeat an id and a text are one
+    document; rows without an id can't be told apart and stay."""
     found = near_join(docs)
-    gone = found.where("not doc_id <=> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    rest = docs.join(settled(gone), F.col("doc_id") == F.col("_id"), "left_anti")
-    return rest
+    gone = settled(found.where("not doc_id <=> class_id").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct())
+    rest = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        return rest
+    return rest.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +47,6 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
-def _less(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the (id, text_hash) of gone."""
-    small = settled(gone.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")))
-    return docs.join(small, docs["doc_id"].eqNullSafe(small["_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == small["_hash"]), "left_anti")
-
-
 #: In order: each is (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("packing", packing)]
 #: The classifier, the tokenizer and the packing are not expressible in SQL; tests hold them against brute force.

@@ -20,8 +20,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isotab.llm.common import checkpointed, slices
 from isotab.llm.components import settled
@@ -33,10 +34,10 @@ ROWS = 50_000
 _NO_ID = -(2**63)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, and the key (d, th): repeated rows of one id and text are one document."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """text and the key (d, th): repeated rows of one id and text are one document."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
 
 
 def split_lines(text: str) -> list[tuple[int, list[str]]]:
@@ -145,19 +146,19 @@ def _without(text: str, gone: list[int]) -> str:
     return "\n".join(keep)
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, text (what stays), n_lines (with words), n_removed, text_hash (of the input text).
+def without_copies(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, text, n_lines, n_removed) for each row: `row` holds its columns but the text, `text` what stays of it.
 
     Of a run of lines that repeats, in one document or across documents, and has at least `least` words, the copy in
     the document of the smallest id (then hash of the text, then the earliest line) stays; a NULL id counts as the
     smallest. Lines are equal if their words are. Copies may overlap: of a line repeated in a row the first stays.
     Lines without words are never copies; they go only where they follow a removed line. A NULL text is an empty one.
-    Rows that repeat an id and a text are one document and are treated alike. Other columns are ignored.
+    Rows that repeat an id and a text are one document and are treated alike. n_lines counts lines with words.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    gone = settled(later_copies(keyed, least).groupBy("d", "th").agg(F.collect_list("seq").alias("gone")))
-    rows = keyed.join(gone, ["d", "th"], "left").select("id", "text", "gone", "th")
-    kind = rows.schema["id"].dataType.simpleString()
+    gone = settled(later_copies(_keyed(docs, id_col, text_col), least).groupBy("d", "th").agg(F.collect_list("seq").alias("gone")))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")
+    rows = _keyed(docs, id_col, text_col, row).join(gone, ["d", "th"], "left").select("row", "text", "gone")
+    schema = T.StructType([rows.schema["row"], rows.schema["text"], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,6 +166,13 @@ def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id",
                 texts, gones = part.column("text").to_pylist(), part.column("gone").to_pylist()
                 kept = [t if not g else _without(t, g) for t, g in zip(texts, gones, strict=True)]
                 lines = [sum(1 for x in t.split("\n") if x and not x.isspace()) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array([len(g or ()) for g in gones], pa.int64()), part.column("th")], names=["doc_id", "text", "n_lines", "n_removed", "text_hash"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array([len(g or ()) for g in gones], pa.int64())], names=["row", "text", "n_lines", "n_removed"])
+
+    return rows.mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, text string, n_lines long, n_removed long, text_hash long")
+
+def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, text, n_lines, n_removed, as in without_copies(). An empty table gives an empty
+    result; other columns are ignored."""
+    lean = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return without_copies(lean, least).select("row.doc_id", "text", "n_lines", "n_removed")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isotab.llm.common import id_text, slices
 
@@ -165,25 +166,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([np.frombuffer(b, np.uint8).reshape(-1, CHUNK) for b in got["chunks"]], y)
 
 
-def score(docs: DataFrame, model: ByteCnn | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, score), a row per input row. NULL is an empty text."""
-    source = id_text(docs, id_col, text_col).select("id", F.xxhash64("text").alias("text_hash"), "text")
-    kind = source.schema["id"].dataType.simpleString()
+def with_score(docs: DataFrame, model: ByteCnn | float, text_col: str = "text") -> tuple[DataFrame, str]:
+    """The rows with all their columns and a score, and the name of the score's column. NULL is an empty text."""
+    name = "score"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, most=1 << 19):
+            for part in slices(batch, text_col, 1 << 19):
                 if isinstance(model, float):
                     p = np.full(part.num_rows, model)
                 else:
-                    p = model.score([chunk_bytes(t.encode("utf-8", "replace")) for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array(p, pa.float64())], names=["id", "text_hash", "score"])
+                    p = model.score([chunk_bytes((t or "").encode("utf-8", "replace")) for t in part.column(text_col).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, name])
 
-    return source.mapInArrow(run, f"id {kind}, text_hash long, score double")
+    return docs.mapInArrow(run, schema), name
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted. A text's score depends on the text alone.
     A NULL id counts as learned from (false). An empty table gives an empty result; other columns are ignored."""
-    out = score(docs, train(docs, labels, id_col, text_col, label_col), id_col, text_col)
+    model = train(docs, labels, id_col, text_col, label_col)
+    out, _ = with_score(id_text(docs, id_col, text_col), model)
     return out.select(F.col("id").alias("doc_id"), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
