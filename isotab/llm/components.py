@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isotab.llm.common import checkpointed
+from isotab.llm.common import checkpointed, parallelism
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint in partitions of the advised size and without any known partitioning: a join with it shuffles
-    both sides, so that Spark can split the partition of a hot key."""
-    return checkpointed(df.hint("rebalance"))
+    """A checkpoint without any known partitioning: a join with it shuffles both sides, so that Spark can split
+    the partition of a hot key."""
+    return checkpointed(df.repartition(parallelism(df.sparkSession)))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -2,9 +2,8 @@
 
 1. Documents with equal n-gram sets form a class; everything below is about classes, so copies cost nothing.
 2. A class has SIZE MinHash values. BANDS keys of ROWS values each make candidates: two classes that agree in a key.
-   At similarity 0.8 all keys miss a pair with a chance of about 1e-5.
-3. Candidates form groups (connected components): first by a few keys; then groups stand for their members, so that
-   the other keys of a large group of copies collapse before they make edges. All pairs of a group are compared in numpy, a block of the group
+   All keys miss a pair with a chance of 8e-5 at similarity 0.8, 1e-6 at 0.85 and 2e-9 at 0.9.
+3. Candidates form groups (connected components). All pairs of a group are compared in numpy, a block of the group
    against another in each task, so a large group is shared out, and no pair becomes a row.
 4. Values are compared incrementally. After each step, pairs leave whose posterior chance of reaching the threshold
    (uniform prior, binomial evidence) is below TOLERANCE. The rest is verified exactly on the n-gram sets.
@@ -20,16 +19,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isotab.llm.common import checkpointed, id_text, slices
 from isotab.llm.components import components, settled
 
 N, THRESHOLD = 5, 0.8
-SIZE, BANDS, ROWS, STEP, TOLERANCE = 128, 60, 7, 16, 1e-7
-#: Keys that the first groups are made of.
-FIRST_BANDS = 8
+SIZE, BANDS, ROWS, STEP, TOLERANCE = 128, 48, 6, 16, 1e-7
 #: Members of one block of a large group; the most blocks of the small kind; members of a larger block.
 BLOCK, SMALL_BLOCKS, LARGE_BLOCK = 128, 32, 1024
 #: Members of small groups that one task checks together, on average.
@@ -99,15 +96,14 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def band_keys(signatures: np.ndarray, bands: slice = slice(0, BANDS)) -> np.ndarray:
-    """(rows, bands) of int64."""
-    numbers = range(BANDS)[bands]
-    out = np.empty((len(signatures), len(numbers)), np.uint64)
-    for column, k in enumerate(numbers):
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """(rows, BANDS) of int64."""
+    out = np.empty((len(signatures), BANDS), np.uint64)
+    for k, places in enumerate(_BAND):
         h = np.full(len(signatures), k + 1, np.uint64)
-        for p in _BAND[k]:
+        for p in places:
             h = _mixed(h * np.uint64(_BASE) + signatures[:, p])
-        out[:, column] = h
+        out[:, k] = h
     return out.view(np.int64)
 
 
@@ -183,33 +179,26 @@ def described(docs: DataFrame, n: int = N, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, lo long, hi long, grams long, signature binary")
 
 
-def _edges(classes: DataFrame, bands: slice) -> DataFrame:
-    """(a, b): `node`s that share a key of these bands, each with the least one of the key. A key's rows are combined
-    before their shuffle; those of keys with several nodes are then joined with its least node."""
+def candidate_groups(classes: DataFrame) -> DataFrame:
+    """(node, label) of the classes (node, signature) that share a key with another.
+
+    A key's rows are combined before their shuffle to its least node; the rows of keys with several nodes are then
+    joined with that. Of the least nodes of its keys, a node gets an edge to the least one, and so do the others: in a
+    large group of copies, whose keys have few different least nodes, that is about one edge per node.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                keys = band_keys(np.frombuffer(b"".join(part.column("signature").to_pylist()), "<u4").reshape(-1, SIZE), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), keys.shape[1]))], names=["key", "node"])
+                keys = band_keys(np.frombuffer(b"".join(part.column("signature").to_pylist()), "<u4").reshape(-1, SIZE))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column("node").to_numpy(), BANDS))], names=["key", "node"])
 
     rows = classes.select("node", "signature").mapInArrow(run, "key long, node long")
-    buckets = settled(rows.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b != most").select("key", "b"))
-    return rows.join(buckets, "key").where("node != b").select(F.col("node").alias("a"), "b").distinct()
-
-
-def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(node, label) of the classes (node, signature) that share a key with another."""
-    first = components(_edges(classes, slice(0, FIRST_BANDS)))
-    joined = classes.join(first, "node", "left")
-    contracted = joined.select(F.coalesce("label", "node").alias("node"), "signature")
-    second = components(_edges(contracted, slice(FIRST_BANDS, BANDS)))
-    up = second.select(F.col("node").alias("label"), F.col("label").alias("top"))
-    known = first.join(up, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
-    # Nodes that only the second step joined, among them labels of the first, which `known` has already.
-    new = second.join(first.select("node"), "node", "left_anti")
-    return checkpointed(known.unionByName(new))
+    buckets = settled(rows.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("key", "least"))
+    hits = rows.join(buckets, "key").where("node != least").select("node", "least")
+    hits = settled(hits.withColumn("first", F.min("least").over(Window.partitionBy("node"))))  # at most BANDS rows a node
+    return components(hits.select(F.col("node").alias("a"), F.col("first").alias("b")).union(hits.select("least", "first")))
 
 
 def _checked(members: DataFrame, threshold: float) -> DataFrame:
