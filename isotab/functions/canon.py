@@ -10,6 +10,8 @@ and Tz with a zone, L list, Lu list as a multiset, S struct, M map, V variant, I
 
 from __future__ import annotations
 
+import pandas as pd
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isotab.config import CanonOptions
@@ -121,8 +123,6 @@ def column_sql(name: str, dtype: T.DataType, o: CanonOptions) -> str:
 
 def register_casefold(spark) -> None:
     """The exact folding of case: Spark's lower() keeps 'ß', Python's casefold() gives 'ss'."""
-    import pandas as pd
-    from pyspark.sql import functions as F
 
     @F.pandas_udf(T.StringType())
     def fold(s: pd.Series) -> pd.Series:

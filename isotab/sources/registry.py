@@ -116,7 +116,7 @@ def _fit(value: Any, dtype: T.DataType) -> Any:
 
 
 def csv(spec: Mapping[str, Any], cx: Context) -> DataFrame:
-    """Header and inferred types from a bounded share of the file unless `schema` is given; integers become bigint."""
+    """Header and inferred types, from the share sampling_ratio of the rows, unless `schema` is given; integers become bigint."""
     reader = cx.spark.read.option("header", True).options(**{k: str(v) for k, v in (spec.get("options") or {}).items()})
     path = cx.path(str(need(spec, "path")))
     if spec.get("schema"):
@@ -158,7 +158,7 @@ def sql(spec: Mapping[str, Any], cx: Context) -> DataFrame:
             for statement in spec.get("setup") or []:
                 con.execute(statement)
             text = cx.query(spec) or f'SELECT * FROM {need(spec, "table")}'
-            return cx.spark.createDataFrame(con.execute(text).fetch_arrow_table())
+            return cx.spark.createDataFrame(con.execute(text).to_arrow_table())
     for statement in spec.get("setup") or []:
         cx.spark.sql(statement)
     if text := cx.query(spec):
@@ -243,7 +243,6 @@ def load_source(spec: Any, base_dir: str = ".", variables: Mapping[str, str] | N
 
 
 def describe_source(spec: Any, base_dir: str = ".", variables: Mapping[str, str] | None = None, spark: SparkSession | None = None) -> dict[str, str]:
-    """Column names and types. Reads metadata only (a CSV file is sampled)."""
-    if isinstance(spec, Mapping) and str(spec.get("type", "")).lower() == "csv" and "sampling_ratio" not in spec:
-        spec = {**spec, "sampling_ratio": 0.1}
+    """Column names and types. Reads metadata only; a CSV file without a schema is read for its types, in part if the
+    spec has a sampling_ratio."""
     return {f.name: f.dataType.simpleString() for f in load_source(spec, base_dir, variables, spark).schema.fields}
