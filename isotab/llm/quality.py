@@ -25,7 +25,7 @@ from isotab.llm.common import id_text, slices
 CHUNK, OVERLAP = 1024, 64
 EMBED, WIDTH, STEP, FILTERS, HIDDEN = 8, 8, 2, 32, 16
 #: Bound on what training reads.
-TRAIN_ROWS, TRAIN_CHUNKS = 4000, 3
+TRAIN_ROWS, TRAIN_CHUNKS = 4000, 5
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 #: Chunks that are scored at a time.
 BLOCK = 16
