@@ -138,9 +138,10 @@ def _empty_one(bins: list[list[int]], at: int, capacity: int) -> bool:
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
-    """The pieces with sequence_id and offset. `parts` is read twice: give a table or a checkpoint."""
+    """The pieces with sequence_id and offset. `parts` is read twice: give a table or a checkpoint, whose rows keep their
+    places. The place of a row takes part in the hash, so that even rows alike in all columns are dealt over groups."""
     groups = max(1, -(-parts.count() // group))
-    dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("int"))
+    dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     kind = parts.schema["doc_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

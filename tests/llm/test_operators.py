@@ -94,6 +94,14 @@ def test_packing(spark):
     assert packing.pack_documents(frame(spark, []), BYTE).count() == 0
 
 
+def test_packing_deals_repeated_rows_over_groups(spark):
+    parts = spark.range(2000).selectExpr("cast(null as bigint) doc_id", "0 piece", "0L start", "300L length", "7L ids_crc32")
+    got = packing.pack(parts, group=100).collect()
+    sizes = Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(sizes) == 20 and max(sizes.values()) < 200 and len(got) == 2000
+    assert max(Counter(r["sequence_id"] for r in got).values()) == 3
+
+
 def test_local_search_empties_a_bin():
     # Best fit leaves 5 bins; one swap and moves make 4.
     bins = [[6, 3], [6, 3], [5, 4], [2, 2, 2, 2], [1, 1, 1, 1]]
