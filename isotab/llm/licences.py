@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isotab.llm.common import slices
@@ -171,10 +171,9 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     own = settled(source.mapInArrow(run, f"doc_id {kind}, path string, licence string, score double"))
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    first = Window.partitionBy("dir").orderBy(F.desc("score"), "path")
-    # One row per directory with a licence file.
-    given = own.where(F.col("licence").isNotNull() & name.rlike(LICENCE_FILE)).select(folder.alias("dir"), "path", "licence", "score")
-    given = given.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("dir", F.col("licence").alias("dir_licence"), F.col("path").alias("dir_path"))
+    # One row per directory with a licence file, combined before the shuffle.
+    given = own.where(F.col("licence").isNotNull() & name.rlike(LICENCE_FILE)).groupBy(folder.alias("dir")).agg(F.min(F.struct((-F.col("score")).alias("worse"), "path", "licence")).alias("best"))
+    given = given.select("dir", F.col("best.licence").alias("dir_licence"), F.col("best.path").alias("dir_path"))
     dirs = own.where("licence is null and path is not null").select(folder.alias("home")).distinct()
     depth = F.size(F.split("home", "/"))
     above = dirs.select("home", F.explode(F.sequence(F.lit(0), depth)).alias("depth")).select("home", "depth", F.array_join(F.slice(F.split("home", "/"), 1, F.col("depth")), "/").alias("dir"))
