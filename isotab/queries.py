@@ -289,11 +289,11 @@ def modulus_sample(spark, d):
     return derived(spark, d, "SELECT event_id, user_id FROM {events} WHERE pmod(user_id, 10) = 3", "events")
 
 
-@query()
+@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS changed FROM (SELECT 1)")
 def hash_sample_parity(spark, d):
     """A keyed sample of both sides holds the same keys, so the comparison finds nothing one-sided."""
     e = hash_sample(derived(spark, d, ORDERS, "orders"), ["o_orderkey"], 10)
-    return plan_for(e, hash_sample(derived(spark, d, ORDERS, "orders"), ["o_orderkey"], 10), CompareConfig(keys=["o_orderkey"]))[0].full_summary()
+    return plan_for(e, hash_sample(derived(spark, d, ORDERS, "orders"), ["o_orderkey"], 10), CompareConfig(keys=["o_orderkey"]))[0].full_summary().select("missing", "added", "changed")
 
 
 _BATCHES = "WITH l AS (SELECT DISTINCT CAST(ts AS DATE) AS b FROM {events} WHERE event_id % 2 = 0), r AS (SELECT DISTINCT CAST(ts AS DATE) AS b FROM {events} WHERE event_id % 2 = 1), c AS (SELECT b FROM l INTERSECT SELECT b FROM r), n AS (SELECT b, row_number() OVER (ORDER BY b DESC) AS i FROM c) SELECT CAST(b AS {text}) AS batch FROM n WHERE i = 2"
@@ -311,9 +311,9 @@ def hourly_daily_rollup_parity(spark, d):
     return _summary(spark, d, left, right, ("events",), keys=["day", "event_type"])
 
 
-@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 5 = 0)")
+@query("SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def semi_join_pinned_values(spark, d):
-    return derived(spark, d, "SELECT l_orderkey, l_partkey FROM {lineitem} WHERE l_orderkey IN (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P' AND o_orderkey % 5 = 0)", "lineitem", "orders")
+    return derived(spark, d, "SELECT l_orderkey, l_partkey FROM {lineitem} WHERE l_orderkey IN (SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'P')", "lineitem", "orders")
 
 
 @query("SELECT o_orderstatus, count(*) AS order_count FROM orders GROUP BY 1")
