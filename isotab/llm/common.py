@@ -33,8 +33,18 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Spark hand texts to Python in batches of SLICE_BYTES, where the session has a larger number of bytes (or -1,
+    no limit): a batch is held several times at once, in the JVM's direct memory and in the worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key).removesuffix("b")
+    if held == "-1" or held.isdigit() and int(held) > SLICE_BYTES:
+        spark.conf.set(key, SLICE_BYTES)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) alone, under these names, so that no other column can clash. A NULL text is an empty one."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 

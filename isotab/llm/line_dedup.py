@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isotab.llm.common import checkpointed, slices
+from isotab.llm.common import bounded_batches, checkpointed, slices
 from isotab.llm.components import settled
 
 #: Words of the shortest run that counts as a copy.
@@ -36,6 +36,7 @@ _NO_ID = -(2**63)
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
     """text and the key (d, th): repeated rows of one id and text are one document."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("th"), text.alias("text"), *more)
 

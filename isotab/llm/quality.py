@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isotab.llm.common import id_text, slices
+from isotab.llm.common import bounded_batches, id_text, slices
 
 CHUNK, OVERLAP = 1024, 64
 EMBED, WIDTH, STEP, FILTERS, HIDDEN = 8, 8, 2, 32, 16
@@ -168,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def with_score(docs: DataFrame, model: ByteCnn | float, text_col: str = "text") -> tuple[DataFrame, str]:
     """The rows with all their columns and a score, and the name of the score's column. NULL is an empty text."""
+    bounded_batches(docs.sparkSession)
     name = "score"
     while name.lower() in {c.lower() for c in docs.columns}:
         name = f"_{name}"
