@@ -269,6 +269,16 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_marks_are_a_prior():
+    body = "A long paragraph of the text, with commas, clauses and stops. It goes on, and on, for a while. "
+    teasers = "".join(f"<article><h3><a href='/{k}'>Teaser {k}</a></h3></article>" for k in range(4))
+    got = html_text.main_text(f"<body><div><p>{body}</p><p>{body * 3}</p></div><section>{teasers}</section></body>")
+    assert body.strip() in got.split("\n") and "Teaser" not in got
+    # Inside a mark, a path of low ratios goes too; short items with a sentence stay.
+    got = html_text.main_text(f"<article><h1>Title</h1><p>{body * 3}</p><ul class=x><li>Print</li><li>Mail</li></ul><ul><li>An item, short.</li></ul><p>{body}</p></article>")
+    assert got.split("\n") == ["Title", (body * 3).strip(), "An item, short.", body.strip()]
+
+
 def brute_lines(rows, least=5):
     order = sorted(range(len(rows)), key=lambda x: (rows[x][0] is not None, rows[x][0] or 0))
     seen, out = defaultdict(list), {}
