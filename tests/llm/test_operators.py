@@ -279,6 +279,25 @@ def test_html_marks_are_a_prior():
     assert got.split("\n") == ["Title", (body * 3).strip(), "An item, short.", body.strip()]
 
 
+def test_html_names_never_empty_a_page():
+    body = "A long paragraph of the text, with commas, clauses and stops. It goes on, and on, for a while."
+    text = f"<h1>Title</h1><p>{body}</p><p>{body}</p>"
+    menu = "<div class='sidebar left'><p>Menu, one.</p></div><div id='cookie-notice'><p>We use cookies, really.</p></div>"
+    want = f"Title\n{body}\n{body}"
+    for page in (
+        f"<body class='single no-sidebar logged-in'>{menu}{text}</body>",
+        f"<body class='has-sidebar'><div class='content with-sidebar'>{text}</div>{menu}</body>",
+        f"<html class='sidebar'><body class='wp-custom-header footer-widgets' style='visibility:hidden'>{text}{menu}</body></html>",
+        f"<main id='search'><article class='post tag-news tags'>{text}</article></main>{menu}",
+        f"<body><form id='aspnetForm'><div class='left-menu'><p>Menu, one.</p></div>{text}</form></body>",
+        f"<body><div class='search'>{text}<p hidden>{body}</p></div>{menu}</body>",
+        f"<body><my-app class='overlay'>{text}</my-app><footer>{body}</footer></body>",
+    ):
+        assert html_text.main_text(page) == want, page
+    comments = f"<div class='comments-area'><p>{body}</p><p>{body}</p></div>"
+    assert html_text.main_text(f"<article><h1>Title</h1><p>{body} <span class='share'>Share</span>More.</p>{comments}</article>") == f"Title\n{body} More."
+
+
 def brute_lines(rows, least=5):
     order = sorted(range(len(rows)), key=lambda x: (rows[x][0] is not None, rows[x][0] or 0))
     seen, out = defaultdict(list), {}
