@@ -1,7 +1,8 @@
 """Licences of files, by sparse TF-IDF cosines to templates and inheritance from directories.
 
-Weights are term frequency times inverse document frequency, the latter counted over all files. For each template, the
-heaviest words are its anchors: so many that a passage without any of them can't reach the threshold. All passages of
+Weights are term frequency times inverse document frequency, the latter counted over all files and for all words. Those
+of the templates' words are at hand everywhere; those of others are joined to the texts that need them: where a passage
+that may be the best of its text holds such words. For each template, the heaviest words are its anchors: so many that a passage without any of them can't reach the threshold. All passages of
 the template's length that hold an anchor (and its line, where that is shorter) are compared with the template, so
 headers are found wherever they stand and the other text isn't weighed.
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isotab.llm.common import slices
+from isotab.llm.common import checkpointed, slices
 from isotab.llm.components import settled
 
 # Common wordings of licence notices, by SPDX identifier.
@@ -48,6 +49,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Proprietary", "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited."),
 )
 THRESHOLD = 0.8
+#: Distinct words, or slices of text, that a task counts before it hands the counts on.
+WORDS, SLICES = 1 << 18, 8
 #: File names that speak for their directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)(\..*)?$"
 _TOKEN = re.compile(r"[^\W_]+(?:\.\d+)*")
@@ -70,12 +73,13 @@ class Template:
 
 
 class Matcher:
-    """Templates weighted by document frequencies: df of the vocabulary's words, and the number of documents."""
+    """Templates weighted by document frequencies, and the number of documents. `df` holds the vocabulary's words at least;
+    a word that it doesn't hold is in no document."""
 
     def __init__(self, df: dict[str, int], documents: int, threshold: float = THRESHOLD):
-        self.threshold = threshold
-        self.idf = {t: math.log((1 + documents) / (1 + df.get(t, 0))) + 1 for t in VOCABULARY}
-        self.other = math.log(1 + documents) + 1  # a word of no template counts as unseen elsewhere
+        self.threshold, self.df, self.documents = threshold, df, documents
+        self.idf = {t: self.weight(df.get(t, 0)) for t in VOCABULARY}
+        self.most = self.weight(0)
         self.templates = []
         for name, text in TEMPLATES:
             words = tokens(text)
@@ -93,22 +97,52 @@ class Matcher:
             for a in t.anchors:
                 self.by_anchor.setdefault(a, []).append(t)
 
+    def weight(self, holders: int) -> float:
+        return math.log((1 + self.documents) / (1 + holders)) + 1
+
     def cosine(self, passage: list[str], t: Template) -> float:
-        counts = Counter(passage)
-        dot = sum(n * self.idf[w] * t.weights[w] for w, n in counts.items() if w in t.weights)
-        if not dot:
-            return 0.0
-        return dot / t.norm / math.sqrt(sum((n * self.idf.get(w, self.other)) ** 2 for w, n in counts.items()))
-
-    def best(self, text: str) -> tuple[str | None, float]:
-        """The template with the largest cosine to a passage, if that reaches the threshold."""
+        dot, own, _ = self._parts(Counter(passage), t)
+        return self._value(dot / t.norm, own, {w: n for w, n in Counter(passage).items() if w not in self.idf}, self.df) if dot else 0.0
+
+    def _parts(self, counts: Counter, t: Template) -> tuple[float, float, int]:
+        """Product with the template, squared norm of the vocabulary's words, squared counts of all others."""
+        dot, own, others = 0.0, 0.0, 0
+        for w, n in counts.items():
+            if (idf := self.idf.get(w)) is None:
+                others += n * n
+            else:
+                own += (n * idf) ** 2
+                if w in t.weights:
+                    dot += n * idf * t.weights[w]
+        return dot, own, others
+
+    def _value(self, share: float, own: float, others: dict[str, int], df: dict[str, int]) -> float:
+        return share / math.sqrt(own + sum((n * self.weight(df.get(w, 0))) ** 2 for w, n in others.items()))
+
+    def best(self, text: str, df: dict[str, int] | None = None) -> tuple[str | None, float]:
+        """The template with the largest cosine to a passage, if that reaches the threshold. `df` is of words beside the vocabulary."""
+        return self._choose(self.passages(text), self.df if df is None else df)
+
+    def _choose(self, passages: list[tuple[float, float, dict[str, int], str]], df: dict[str, int]) -> tuple[str | None, float]:
+        found: tuple[float, str | None] = (0.0, None)
+        for share, own, others, name in passages:
+            c = self._value(share, own, others, df)
+            if c > found[0] + 1e-12:
+                found = (c, name)
+        return (found[1], found[0]) if found[0] >= self.threshold else (None, found[0])
+
+    def passages(self, text: str) -> list[tuple[float, float, dict[str, int], str]]:
+        """The passages of which one has the largest cosine, whatever the frequencies of words beside the vocabulary (a weight
+        is 1 at least, that of an unseen word at most): product over the template's norm, squared norm of the vocabulary's
+        words, counts of the others, and the template's identifier."""
         low = text.lower()
         words, starts = [], []
         for m in _TOKEN.finditer(low):
             words.append(m[0])
             starts.append(m.start())
         hits = [i for i, w in enumerate(words) if w in self.by_anchor]
-        found: tuple[float, str | None] = (0.0, None)
+        found: list[tuple[float, float, float, int, int, str]] = []
+        least = 0.0
         tried: set[tuple[int, int, int]] = set()
         for i in hits:
             a = b = None
@@ -127,26 +161,46 @@ class Matcher:
                     if key in tried:
                         continue
                     tried.add(key)
-                    c = self.cosine(words[span[0] : span[1]], t)
-                    if c > found[0] + 1e-12:
-                        found = (c, t.name)
-        return (found[1], found[0]) if found[0] >= self.threshold else (None, found[0])
+                    dot, own, others = self._parts(Counter(words[span[0] : span[1]]), t)
+                    share = dot / t.norm
+                    if share and (upper := share / math.sqrt(own + others)) >= least - 1e-9:
+                        least = max(least, share / math.sqrt(own + others * self.most**2))
+                        found.append((upper, share, own, *span, t.name))
+        out = {}
+        for upper, share, own, a, b, name in found:
+            if upper >= least - 1e-9:
+                others = Counter(w for w in words[a:b] if w not in self.idf)
+                out.setdefault((share, own, name, frozenset(others.items())), (share, own, dict(others), name))
+        return list(out.values())
 
 
-def document_frequencies(texts: DataFrame) -> tuple[dict[str, int], int]:
-    """Of the vocabulary's words, over all rows of `text`. Each batch returns one row per word of a fixed list."""
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """(word, n) of all words over all rows of `text`, checkpointed; n of the word "" is the number of rows. A task adds up
+    what it has read before it hands that on, every few slices, so that it holds no more than their words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        read = 0
         for batch in batches:
             for part in slices(batch):
                 for text in part.column("text").to_pylist():
                     seen[""] += 1
-                    seen.update(VOCABULARY.intersection(tokens(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+                    seen.update(set(tokens(text)))
+                read += 1
+                if len(seen) >= WORDS or read == SLICES:
+                    yield from _counted(seen)
+                    read = 0
+        yield from _counted(seen)
+
+    return settled(texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
 
-    total = {r["word"]: r["n"] for r in texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    return total, total.pop("", 0)
+
+def _counted(seen: Counter) -> Iterator[pa.RecordBatch]:
+    if seen:
+        words = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        seen.clear()
+        for at in range(0, words.num_rows, 1 << 16):
+            yield words.slice(at, 1 << 16)
 
 
 def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -158,17 +212,41 @@ def scan(files: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     empty result; other columns are ignored; repeated rows are treated alike.
     """
     source = files.select(F.col(f"`{id_col}`").alias("doc_id"), path.cast("string").alias("path"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    df, documents = document_frequencies(source)
+    counts = document_frequencies(source)
+    df = {r["word"]: r["n"] for r in counts.where(F.col("word").isin("", *sorted(VOCABULARY))).collect()}
+    documents = df.pop("", 0)
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The result of a text, or what is needed for it: the text and the words whose frequencies count."""
+        matcher = Matcher(df, documents, threshold)
+        for batch in batches:
+            for part in slices(batch):
+                got, needs, open_ = [], [], []
+                for text in part.column("text").to_pylist():
+                    passages = matcher.passages(text)
+                    needs.append(sorted({w for p in passages for w in p[2]}) or None)
+                    got.append(matcher._choose(passages, {}) if needs[-1] is None else (None, None))
+                    open_.append(text if needs[-1] else None)
+                columns = [part.column("doc_id"), part.column("path"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array(open_, pa.string()), pa.array(needs, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "path", "licence", "score", "text", "needs"])
+
+    def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(df, documents, threshold)
         for batch in batches:
             for part in slices(batch):
-                got = [matcher.best(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("path"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "path", "licence", "score"])
+                rows = zip(part.column("text").to_pylist(), part.column("counts").to_pylist(), strict=True)
+                got = [matcher.best(text, {c["word"]: c["n"] for c in found}) for text, found in rows]
+                yield pa.RecordBatch.from_arrays([part.column("hash"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["hash", "licence", "score"])
 
-    own = settled(source.mapInArrow(run, f"doc_id {kind}, path string, licence string, score double"))
+    first = checkpointed(source.mapInArrow(run, f"doc_id {kind}, path string, licence string, score double, text string, needs array<string>").withColumn("hash", F.sha2("text", 256)))
+    # Texts that are alike are weighed once.
+    texts = settled(first.where("hash is not null").groupBy("hash").agg(F.first("text").alias("text"), F.first("needs").alias("needs")))
+    pairs = settled(texts.select("hash", F.explode("needs").alias("word")))
+    known = pairs.join(counts, "word").groupBy("hash").agg(F.collect_list(F.struct("word", "n")).alias("counts"))
+    weighed = settled(texts.select("hash", "text").join(known, "hash").select("hash", "text", "counts").mapInArrow(weigh, "hash string, licence string, score double"))
+    later = first.where("hash is not null").select("doc_id", "path", "hash").join(weighed, "hash").select("doc_id", "path", "licence", "score")
+    own = settled(first.where("hash is null").select("doc_id", "path", "licence", "score").union(later))
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     # One row per directory with a licence file, combined before the shuffle.

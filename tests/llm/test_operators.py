@@ -369,6 +369,27 @@ def test_anchors_lose_no_passage():
     assert json.dumps(m.best("Licensed under CC BY-NC 4.0.")[0]) == '"CC-BY-NC-4.0"'
 
 
+def test_licences_count_all_words(spark):
+    """A word of no template counts by its documents: common ones cost a notice little, rare ones much."""
+    texts = ["open under the"] * 130 + ["licensed license open under the"] * 50 + ["mit open the"] * 20 + ["Licensed under the MIT Open License"] * 2
+    texts += ["Licensed under the MIT Unusual License", "x " * 70 + "\nLicensed under the Open MIT License, open\n" + " ".join(words(40, 2)), "Licensed under the MIT License.", None, ""]
+    rows = [(k if k % 7 else None, "s", t, 0) for k, t in enumerate(texts)]
+    df = Counter(w for t in texts for w in set(licences.tokens(t or "")))
+    plain = licences.Matcher(df, len(texts))
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string, n int"), F.col("path")).collect()
+    want = Counter((k, *(lambda b: (b[0], round(b[1], 9)))(max_window(plain, t or ""))) for k, _, t, _ in rows)
+    assert Counter((r["doc_id"], r["licence"], round(r["score"], 9)) for r in got) == want
+    assert Counter(r["licence"] for r in got if r["doc_id"] in (200, 201, 202, 204)) == {"MIT": 3, None: 1}
+
+
+def max_window(m, text):
+    """The best of all windows and lines, by the plain cosine."""
+    w = licences.tokens(text)
+    lines = [licences.tokens(x) for x in text.split("\n")]
+    best = max(((m.cosine(p, t), t.name) for t in m.templates for p in [*(w[a : a + len(t.words)] for a in range(max(1, len(w) - len(t.words) + 1))), *lines] if t.anchors & set(p)), default=(0.0, None))
+    return (best[1] if best[0] >= m.threshold else None, best[0])
+
+
 def test_components(spark):
     from isotab.llm.components import components
 
