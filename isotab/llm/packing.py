@@ -4,9 +4,10 @@ Every document is its ids and an end mark. A longer one is cut from its end into
 first piece. Pieces, a few bytes each, are dealt into groups of a bounded number by a hash, and each group is packed in
 one task: best fit over descending lengths, then a local search. The search takes the emptiest bins one by one and
 moves its pieces into the room of others, or swaps one of its pieces for one or two smaller ones of an underfull bin, so
-that each step increases the sum of squared fills; a bin that runs empty is saved. Pieces of one length are
-interchangeable, so a group is searched by lengths, not by pieces. A group leaves at most a few bins underfull, which is
-a fraction of a thousandth of its sequences; groups grow in number with the input, not in size.
+that each step increases the sum of squared fills; a bin that runs empty is saved. It goes over all underfull bins until
+no step is left or no fewer bins are possible. Pieces of one length are
+interchangeable, so a group is searched by lengths, not by pieces. A group leaves at most a few bins underfull where it has many
+short pieces, which is a fraction of a thousandth of its sequences; groups grow in number with the input, not in size.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from isotab.llm.common import checkpointed, id_text, slices
 CAPACITY, END_ID = 1024, 2
 #: Pieces in a group, on average.
 GROUP = 20_000
-#: Bins that the search tries to empty.
-TRIES = 48
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,59 +81,116 @@ def pack_lengths(lengths: Iterable[int], capacity: int = CAPACITY) -> list[list[
     return improve(bins, capacity)
 
 
-def improve(bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """The local search. Every step raises the sum of squared fills, so it ends."""
-    total = sum(map(sum, bins))
-    full = [b for b in bins if sum(b) == capacity]
-    open_ = sorted((b for b in bins if 0 < sum(b) < capacity), key=sum)
-    least, tries, at = -(-total // capacity), 0, 0
-    while len(full) + len(open_) > least and at < len(open_) and tries < TRIES:
-        tries += 1
-        at = 0 if _empty_one(open_, at, capacity) else at + 1
-        full += [b for b in open_ if sum(b) == capacity]
-        open_ = sorted((b for b in open_ if 0 < sum(b) < capacity), key=sum)
-    return full + open_
-
-
-def _empty_one(bins: list[list[int]], at: int, capacity: int) -> bool:
-    """Try to move all of bins[at] into the fuller bins after it; they change for the better even where that fails."""
-    target, others = bins[at], bins[at + 1 :]
-    room = [capacity - sum(b) for b in others]
-    steps = True
-    while target and steps:
-        steps = False
-        for x in sorted(target, reverse=True):
-            if x not in target:
-                continue
-            fits = [j for j, r in enumerate(room) if r >= x]
-            if fits:  # move: to the fullest bin that takes x whole
-                j = min(fits, key=room.__getitem__)
-                others[j].append(x)
-                room[j] -= x
-                target.remove(x)
-                steps = True
-                continue
-            best = (0, 0, ())
-            for j, r in enumerate(room):
-                if r <= best[0]:
+class Open:
+    """Bins by their room, and by what one or two of their pieces (or none) add up to: `held[room][sum]` are the bins, bit
+    `sum` of `sums[room]` tells whether there are any."""
+
+    def __init__(self, bins: list[list[int]], capacity: int):
+        self.bins, self.capacity = bins, capacity
+        self.room = [capacity - sum(b) for b in bins]
+        self.held: dict[int, dict[int, set[int]]] = {}
+        self.sums: dict[int, int] = {}
+        self.rooms: list[int] = []
+        self.steps = 0
+        for j, b in enumerate(bins):
+            if b:
+                self.put(j)
+
+    def _sums(self, j: int) -> set[int]:
+        b = sorted(self.bins[j])
+        kinds = sorted(set(b))
+        two = {x + y for i, x in enumerate(kinds) for y in kinds[:i]} | {2 * x for x, y in zip(b, b[1:], strict=False) if x == y}
+        return {0, *kinds} | two
+
+    def put(self, j: int) -> None:
+        r = self.room[j]
+        if not r:
+            return
+        if r not in self.held:
+            self.held[r], self.sums[r] = {}, 0
+            insort(self.rooms, r)
+        held, bits = self.held[r], self.sums[r]
+        for y in self._sums(j):
+            if y in held:
+                held[y].add(j)
+            else:
+                held[y] = {j}
+                bits |= 1 << y
+        self.sums[r] = bits
+
+    def take(self, j: int) -> None:
+        r = self.room[j]
+        if not r:
+            return
+        held, bits = self.held[r], self.sums[r]
+        for y in self._sums(j):
+            held[y].discard(j)
+            if not held[y]:
+                del held[y]
+                bits ^= 1 << y
+        self.sums[r] = bits
+        if not bits:
+            del self.held[r], self.sums[r]
+            del self.rooms[bisect_left(self.rooms, r)]
+
+    def place(self, x: int, own: int) -> tuple[int, int] | None:
+        """The bin, and the sum of its pieces, for which to give x out of a bin with the room `own`: the fullest that takes x
+        whole, or else where the bin gains most. The squared fills rise if it gains more than it has room beyond `own`."""
+        i = bisect_left(self.rooms, x)
+        if i < len(self.rooms) and x > self.rooms[i] - own:
+            return min(self.held[self.rooms[i]][0]), 0
+        best, at = 0, None
+        for r in reversed(self.rooms):
+            if r <= best:
+                break
+            low = max(x - r, 0)
+            bits = self.sums[r] >> low
+            y = low + (bits & -bits).bit_length() - 1
+            if bits and x - y > max(best, r - own):
+                best, at = x - y, (r, y)
+        return (min(self.held[at[0]][at[1]]), at[1]) if at else None
+
+    def empty(self, k: int) -> bool:
+        """Try to give all of bin k to others, which change for the better even where that fails."""
+        self.take(k)
+        target, steps = self.bins[k], True
+        while target and steps:
+            steps = False
+            for x in sorted(target, reverse=True):
+                if x not in target or (found := self.place(x, self.room[k])) is None:
                     continue
-                b = others[j]
-                for i, y in enumerate(b):  # swap x for one or two smaller pieces, as far as the bin has room
-                    if best[0] < x - y <= r:
-                        best = (x - y, j, (y,))
-                    for z in b[:i]:
-                        if best[0] < x - y - z <= r:
-                            best = (x - y - z, j, (y, z))
-            gain, j, out = best
-            if gain:
-                others[j].append(x)
+                j, y = found
+                self.take(j)
+                b = self.bins[j]
+                out = [] if not y else [y] if y in b else next([z, y - z] for i, z in enumerate(b) if y - z in b[:i])
+                for z in out:
+                    b.remove(z)
+                b.append(x)
                 target.remove(x)
-                for y in out:
-                    others[j].remove(y)
-                    target.append(y)
-                room[j] -= gain
-                steps = True
-    return not target
+                target += out
+                self.room[j] -= x - y
+                self.room[k] += x - y
+                self.put(j)
+                self.steps, steps = self.steps + 1, True
+        if target:
+            self.put(k)
+        return not target
+
+
+def improve(bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """The local search: passes over all open bins until one finds no step. Every step raises the sum of squared fills, so it ends."""
+    bins = [b for b in bins if b]
+    left, least = len(bins), -(-sum(map(sum, bins)) // capacity)
+    if left > least:
+        search, before = Open(bins, capacity), -1
+        while left > least and before < search.steps:
+            before = search.steps
+            for k in sorted((k for k, b in enumerate(bins) if b and search.room[k]), key=search.room.__getitem__, reverse=True):
+                if bins[k] and search.room[k] and search.empty(k):
+                    left -= 1
+                    if left == least:
+                        break
+    return [b for b in bins if b]
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

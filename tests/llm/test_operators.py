@@ -118,6 +118,23 @@ def test_local_search_empties_a_bin():
     assert packing.pack_lengths([]) == []
 
 
+def test_local_search_goes_on_until_no_step_is_left():
+    lengths = np.random.default_rng(7).integers(150, 400, 20_000).tolist()
+    out = packing.pack_lengths(lengths)
+    assert sorted(x for b in out for x in b) == sorted(lengths) and max(map(sum, out)) <= 1024
+    assert len(out) <= 1.012 * -(-sum(lengths) // 1024)  # 48 bins emptied at most: 1.029
+    for low, high in ((150, 400), (300, 521)):
+        lengths = np.random.default_rng(high).integers(low, high, 400).tolist()
+        bins = packing.pack_lengths(lengths)
+        assert len(bins) > -(-sum(lengths) // 1024)  # else there is no need to go on
+        assert sorted(x for b in bins for x in b) == sorted(lengths)
+        room = [1024 - sum(b) for b in bins]
+        for k, b in enumerate(bins):
+            for j, other in enumerate(bins):
+                sums = {0, *other} | {y + z for i, y in enumerate(other) for z in other[:i]}
+                assert j == k or not room[k] or not any(max(0, room[j] - room[k]) < x - y <= room[j] for x in b for y in sums)
+
+
 def test_exact_dedup(spark):
     rows = ODD + [(1000 + k, "hot text" + " " * (k % 3)) for k in range(300)]
     got = [r.asDict() for r in exact_dedup(frame(spark, rows)).collect()]
