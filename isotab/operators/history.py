@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of examples per case that a report shows of its latest run.
+#: Changed rows per case that a report shows of its latest run; signatures are counted over all.
 SHOWN_DIFFS = 500
 
 
@@ -54,7 +54,10 @@ def build_histories(summary: DataFrame, diffs: DataFrame, days: int = 21, now: d
     daily = latest_per_day(recent(summary, days, now))
     w = Window.partitionBy("case_name").orderBy(F.desc("day"))
     last = daily.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("run_id", "case_name")
-    shown = diffs.join(last, ["run_id", "case_name"]).withColumn("_n", F.row_number().over(Window.partitionBy("case_name").orderBy("diff_kind", "key_json", "column_diffs"))).where(F.col("_n") <= SHOWN_DIFFS)
+    names = F.transform(F.from_json("column_diffs", "array<struct<column string>>"), lambda d: d["column"])
+    changed = diffs.join(last, ["run_id", "case_name"]).where("diff_kind = 'changed'").withColumn("_columns", F.array_sort(names)).where(F.size("_columns") > 0)
+    counted = changed.groupBy("case_name", "_columns").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key_json", "column_diffs")).alias("first"))
+    shown = changed.withColumn("_n", F.row_number().over(Window.partitionBy("case_name").orderBy("key_json", "column_diffs"))).where(F.col("_n") <= SHOWN_DIFFS)
     by_case: dict[str, list] = {}
     for d in shown.orderBy("case_name", "_n").collect():
         by_case.setdefault(d["case_name"], []).append(d)
@@ -64,20 +67,20 @@ def build_histories(summary: DataFrame, diffs: DataFrame, days: int = 21, now: d
         c = cases.setdefault(r["case_name"], {"name": r["case_name"], "history": []})
         c |= {"tags": _parsed(r["tags"]), "keys": _parsed(r["keys"]) or None}
         c["history"].append({"date": str(r["day"]), "run_id": r["run_id"], "equivalent": bool(r["equivalent"]), **{k: r[k] for k in ("expected_rows", "actual_rows", "missing_count", "added_count", "changed_count")}, "schema": schema, "schema_drifted": any(schema.values())})
+    for c in cases.values():
+        c["signatures"], c["diffs"] = [], []
+    for r in counted.orderBy("case_name", F.desc("n"), "first").collect():
+        changes = ", ".join(f"{x['column']}: {x['expected']} -> {x['actual']}" for x in _parsed(r["first"]["column_diffs"]))
+        cases[r["case_name"]]["signatures"].append({"columns": r["_columns"], "count": r["n"], "example": f"key={_key(r['first']['key_json'])}: {changes}"})
     for name, c in cases.items():
-        signatures: dict[tuple, dict[str, Any]] = {}
-        c["diffs"] = []
         for d in by_case.get(name, []):
-            changes, key = _parsed(d["column_diffs"]), f"({', '.join(map(str, _parsed(d['key_json'])))})"
-            if d["diff_kind"] != "changed" or not changes:
-                continue
-            columns = tuple(sorted(x["column"] for x in changes))
-            example = f"key={key}: " + ", ".join(f"{x['column']}: {x['expected']} -> {x['actual']}" for x in changes)
-            signatures.setdefault(columns, {"columns": list(columns), "count": 0, "example": example})["count"] += 1
-            c["diffs"] += [{"key": key, "column": x["column"], "oldv": x["expected"], "newv": x["actual"]} for x in changes]
-        c["signatures"] = sorted(signatures.values(), key=lambda s: -s["count"])
+            c["diffs"] += [{"key": _key(d["key_json"]), "column": x["column"], "oldv": x["expected"], "newv": x["actual"]} for x in _parsed(d["column_diffs"])]
     return list(cases.values())
 
 
+def _key(text: str | None) -> str:
+    return f"({', '.join(map(str, _parsed(text)))})"
+
+
 def _parsed(text: str | None) -> list:
     return json.loads(text) if text else []

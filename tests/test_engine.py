@@ -267,3 +267,18 @@ def test_history_shapes(spark):
     from isotab.report.html import render_html
 
     assert "</script>\"" not in render_html(list(got.values()))
+
+
+def test_history_counts_signatures_over_all_diffs(spark):
+    from isotab.operators.history import SHOWN_DIFFS, build_histories
+    from isotab.sources.sinks import DIFFS_SCHEMA, SUMMARY_SCHEMA
+
+    now = dt.datetime(2024, 5, 10, 12, tzinfo=dt.UTC)
+    s = spark.createDataFrame([("r1", now, "c", "[]", False, 1, 1, 0, 0, 0, "[]", None, "[]", "[]", "[]")], SUMMARY_SCHEMA)
+    diff = lambda *columns: json.dumps([{"column": c, "expected": "1", "actual": "2"} for c in columns])
+    rows = [("r1", "c", "added", f'["{k}"]', None, None, None) for k in range(600)]
+    rows += [("r1", "c", "changed", f'["{k:04}"]', None, None, diff("v") if k % 3 else diff("w", "v")) for k in range(900)]
+    rows += [("r0", "c", "changed", '["1"]', None, None, diff("v")), ("r1", "c", "changed", '["1"]', None, None, "[]")]
+    got = build_histories(s, spark.createDataFrame(rows, DIFFS_SCHEMA), 21, now)[0]
+    assert [(x["columns"], x["count"], x["example"]) for x in got["signatures"]] == [(["v"], 600, "key=(0001): v: 1 -> 2"), (["v", "w"], 300, "key=(0000): w: 1 -> 2, v: 1 -> 2")]
+    assert len({d["key"] for d in got["diffs"]}) == SHOWN_DIFFS
