@@ -31,14 +31,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id. Rows that repeat an id and a text are one
-    document; rows without an id can't be told apart and stay."""
-    found = near_join(docs)
-    gone = settled(found.where("not doc_id <=> class_id").select(F.col("doc_id").alias("_id")).where("_id is not null").distinct())
-    rest = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        return rest
-    return rest.withColumn("_text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    """Of each group of near duplicates, the document with the smallest id (then text hash; those without an id come last).
+    Rows that repeat an id (or NULL) and a text are one document; other rows that share an id are decided on their own."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        found = near_join(docs)
+        gone = settled(found.where("doc_id != class_id").select(F.col("doc_id").alias("_id")))
+        return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    # A document's key has the order in which one of a group is kept.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.coalesce(F.sha2("text", 256), F.lit("")).alias("hash"))
+    keyed = checkpointed(docs.withColumn("_key", key).dropDuplicates(["_key"]))
+    found = near_join(keyed, id_col="_key")
+    gone = settled(found.where("doc_id != class_id").select(F.col("doc_id").alias("_gone")))
+    return keyed.join(gone, F.col("_key") == F.col("_gone"), "left_anti").drop("_key")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

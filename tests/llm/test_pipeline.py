@@ -32,6 +32,18 @@ def test_stages_keep_columns_and_decide(spark, tmp_path):
     assert {r["doc_id"] for r in docs.collect()} == set(seen["near_duplicates"])
 
 
+def test_near_duplicates_decide_by_id_and_text(spark):
+    a, b = words(100, 5), words(100, 6)
+    near = lambda w, x: " ".join([*w[:50], x, *w[51:]])
+    rows = [(1, " ".join(a)), (2, near(a, "x")), (2, "a text of its own that nothing else is like"), (2, near(a, "x")), (None, near(a, "y"))]
+    rows += [(None, " ".join(b)), (None, near(b, "x")), (None, " ".join(b)), (None, "another text of its own, without any id"), (3, None), (3, ""), (4, "")]
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "").select("doc_id", "text").collect()
+    got = sorted(((r["doc_id"], r["text"]) for r in kept), key=repr)
+    rest = [r for r in got if r[0] is None and r[1] in (" ".join(b), near(b, "x"))]
+    assert len(rest) == 1 and len(got) == 7
+    assert set(got) - set(rest) == {(1, " ".join(a)), (2, rows[2][1]), (None, rows[8][1]), (3, None), (3, ""), (4, "")}
+
+
 def test_run_is_the_stages(spark, tmp_path):
     frame(spark, [(1, "some text of its own here"), (2, "and another one")]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
