@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isotab.llm.bpe import encode_decode
+from isotab.llm.common import bounded_batches
 from isotab.llm.exact_dedup import exact_dedup
 from isotab.llm.html_text import extract
 from isotab.llm.licences import scan
@@ -33,6 +34,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
