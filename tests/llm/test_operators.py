@@ -216,7 +216,8 @@ def brute_links(rows, n=5):
     return links, [find(x) for x in range(len(rows))]
 
 
-def test_near_join(spark):
+@pytest.mark.parametrize("giant", [near_join.GIANT, 140])
+def test_near_join(spark, giant):
     rows = list(ODD)
     base = words(150, 9)
     for k in range(150):  # a large group of near copies, over several blocks
@@ -229,7 +230,7 @@ def test_near_join(spark):
         for j in range(k % 5):
             w[(k * 7 + j * 13) % 80] = "swap"
         rows.append((3001 + 2 * k, " ".join(w)))
-    got = near_join.near_join(frame(spark, rows)).collect()
+    got = near_join.near_join(frame(spark, rows), giant=giant).collect()
     links, root = brute_links(rows)
     least = {}
     for x, (i, _) in enumerate(rows):
@@ -240,6 +241,25 @@ def test_near_join(spark):
     assert near_join.near_join(frame(spark, [(1, None), (2, " ")])).count() == 2
 
 
+def test_near_join_text_ids_and_repeated_rows(spark):
+    w = words(60, 3)
+    rows = [("b", " ".join(w)), ("a", " ".join([*w, "x"])), ("a", "another text of its own, without a link"), (None, " ".join(w)), (None, " ".join(["y", *w])), (None, "one more text without any id")] + [("c", "hot row of six words only")] * 50
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id string, text string, node int")
+    got = Counter(map(tuple, near_join.near_join(df).collect()))
+    assert got == Counter({("b", "a", "b", 3): 1, ("a", "a", "a", 3): 1, ("a", "a", "a", 0): 1, (None, "a", "b", 3): 1, (None, "a", None, 3): 1, (None, None, None, 0): 1, ("c", "c", "c", 49): 50})
+
+
+def test_near_join_recall(spark):
+    """Pairs whose similarity is just above the threshold: what the MinHash keys and the pruning find of them."""
+    rows = []
+    for k in range(300):
+        w = words(200, 500 + k)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w + words(20 + k % 28, 9000 + k)))]  # similarity 196 / (216..243)
+    got = near_join.near_join(frame(spark, rows)).collect()
+    links, _ = brute_links(rows)
+    assert sum(links.values()) > 500 and sum(r["n_links"] for r in got) == sum(links.values())
+
+
 def test_pruning_table_and_intersections():
     least = near_join.least_matches()
     assert all(0 <= m < 0.8 * n for n, m in least.items()) and least[128] > least[16]
@@ -347,6 +367,21 @@ def test_line_dedup(spark, least):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_text_ids(spark):
+    text = "a line that has six words\nand a second one with seven words"
+    rows = [("b", text), ("a", "x\n" + text), (None, "and a second one with seven words"), (None, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([("b", "", 2, 2), ("a", "x\na line that has six words", 3, 1), (None, "and a second one with seven words", 1, 0), (None, "", 0, 0)])
+
+
+def test_line_dedup_long_runs(spark):
+    """A run of hundreds of lines, between others, takes as many rounds as its length has bits."""
+    run = [f"line {k} of the run that repeats here" for k in range(300)]
+    rows = [(k, "\n".join([f"begin {k} is a line of its own", *run[k : 300 - k], f"end {k} is another line of its own", "x"])) for k in range(6)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+    assert [(got[k]["n_lines"], got[k]["n_removed"]) for k in range(6)] == [(303, 0)] + [(303 - 2 * k, 300 - 2 * k) for k in range(1, 6)]
+
+
 def test_line_dedup_repeated_rows_are_alike(spark):
     text = "a line that has six words\nother line with its own words"
     got = line_dedup.dedup_lines(frame(spark, [(1, text), (1, text), (2, text)])).collect()
