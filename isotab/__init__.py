@@ -3,9 +3,9 @@
 from isotab.config import CanonOptions, CompareConfig
 from isotab.functions.fingerprint import canon_row, canon_value, hash_sample, row_digest
 from isotab.operators.compare import compare_tables
-from isotab.result import ChangeSignature, ColumnDiff, ComparisonResult, RowDiff
+from isotab.result import Counts, Difference, Outcome, Pattern, SchemaFindings
 
-__all__ = ["CanonOptions", "ChangeSignature", "ColumnDiff", "CompareConfig", "ComparisonResult", "RowDiff", "assert_case", "canon_row", "canon_value", "compare_tables", "discover_cases", "hash_sample", "load_cases", "row_digest"]
+__all__ = ["CanonOptions", "CompareConfig", "Counts", "Difference", "Outcome", "Pattern", "SchemaFindings", "assert_case", "canon_row", "canon_value", "compare_tables", "discover_cases", "hash_sample", "load_cases", "row_digest"]
 __version__ = "0.1.0"
 
 

@@ -13,8 +13,8 @@ from isotab.cases.params import names_in, resolve_param_queries, resolve_variabl
 from isotab.config import CompareConfig
 from isotab.errors import CaseError, ConceptCheckError, CoverageError, SchemaCheckError
 from isotab.operators.compare import compare_tables
-from isotab.operators.schema import CoverageResult, check_concepts, check_coverage, check_schemas, load_schema_file, load_usage
-from isotab.result import ComparisonResult
+from isotab.operators.schema import Coverage, check_concepts, check_coverage, check_schemas, load_schema_file, load_usage
+from isotab.result import Outcome
 from isotab.sources.registry import describe_source, load_source
 
 #: Names of engines that case files may hold; all of them are Spark here.
@@ -58,10 +58,10 @@ class Case(BaseCase):
         options = {k: v for k, v in self.compare.items() if k not in _FILE_KEYS and v is not None}
         return CompareConfig(**{**options, "ignore_columns": merge_ignored(self.compare, base_dir or self.base_dir)})
 
-    def _run(self, base_dir: str) -> ComparisonResult:
+    def _run(self, base_dir: str) -> Outcome:
         return self.run_frames(base_dir)
 
-    def run_frames(self, base_dir: str, sink=None) -> ComparisonResult:
+    def run_frames(self, base_dir: str, sink=None) -> Outcome:
         cfg = self.config(base_dir)
         expected, actual = (load_source(s, base_dir, self.variables) for s in (self.expected, self.actual))
         if sink is not None:
@@ -69,7 +69,7 @@ class Case(BaseCase):
                 sink.write(self.name, side, df, cfg)
         return compare_tables(expected, actual, cfg)
 
-    def run(self, base_dir: str | None = None, sink=None, result_sink=None) -> ComparisonResult:
+    def run(self, base_dir: str | None = None, sink=None, result_sink=None) -> Outcome:
         result = self.run_frames(base_dir or self.base_dir, sink)
         if result_sink is not None:
             result_sink.write(self.name, self.tags, result)
@@ -80,7 +80,7 @@ class Case(BaseCase):
 class SchemaCheckCase(BaseCase):
     spec: dict[str, Any] = field(default_factory=dict)
 
-    def _run(self, base_dir: str) -> ComparisonResult:
+    def _run(self, base_dir: str) -> Outcome:
         e, a = (describe_source(self.spec[s], base_dir, self.variables) for s in ("expected", "actual"))
         return check_schemas(e, a, merge_ignored(self.spec, base_dir))
 
@@ -89,7 +89,7 @@ class SchemaCheckCase(BaseCase):
 class ConceptCheckCase(BaseCase):
     spec: dict[str, Any] = field(default_factory=dict)
 
-    def _run(self, base_dir: str) -> ComparisonResult:
+    def _run(self, base_dir: str) -> Outcome:
         sources = self.spec["sources"]
         named = sources.items() if isinstance(sources, Mapping) else [(s.get("name") or s.get("table") or f"source{i}", s.get("source", s)) for i, s in enumerate(sources, 1)]
         schemas = {n: describe_source(s, base_dir, self.variables) for n, s in named}
@@ -101,10 +101,10 @@ class ConceptCheckCase(BaseCase):
 class CoverageCase(BaseCase):
     spec: dict[str, Any] = field(default_factory=dict)
 
-    def _run(self, base_dir: str) -> CoverageResult:
+    def _run(self, base_dir: str) -> Coverage:
         source = self.spec["source"]
         override = load_schema_file(os.path.join(base_dir, self.spec["schema_file"])) if self.spec.get("schema_file") else None
-        return check_coverage(load_usage(self.spec, base_dir), describe_source(source, base_dir, self.variables), override, self.name, str(source.get("table") or source.get("query") or source.get("path") or source.get("type")))
+        return check_coverage(load_usage(self.spec, base_dir), describe_source(source, base_dir, self.variables), override, str(source.get("table") or source.get("query") or source.get("path") or source.get("type")))
 
 
 def merge_defaults(case: Mapping[str, Any], defaults: Mapping[str, Any]) -> dict[str, Any]:

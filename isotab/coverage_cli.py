@@ -6,42 +6,42 @@ import argparse
 import csv
 import json
 import sys
-from dataclasses import asdict
+from collections.abc import Iterator
 
 from isotab.cases.loader import discover_cases
 from isotab.errors import ParityError
-from isotab.operators.schema import CoverageResult
+from isotab.operators.schema import Coverage
 
 
-def render(r: CoverageResult, name: str) -> str:
-    n = len(r.mapped) + len(r.unmapped_usage)
-    lines = [f"Coverage '{name}': [{'FULL COVERAGE' if r.equivalent else 'GAPS FOUND'}]  source={r.source_label}  usage={n}  mapped={len(r.mapped)}  unmapped={len(r.unmapped_usage)}"]
-    lines += [f"  = {m.usage_name} -> {m.source_name} {m.source_type}" + (f'  "{m.description}"' if m.description else "") for m in r.mapped]
-    lines += [f"  ! {c} is not in the source" for c in r.unmapped_usage]
-    return "\n".join(lines + [f"  . {c} is not used" for c in r.unreferenced_source])
+def rows(r: Coverage) -> Iterator[tuple[str, str, str, str, str]]:
+    """(status, usage column, source column, type, description): hits, gaps, then columns that are not used."""
+    for name, hit in r.hits.items():
+        yield "MAPPED", name, *hit
+    for name in r.gaps:
+        yield "UNMAPPED", name, "", "", ""
+    for name in r.unused:
+        yield "UNREFERENCED", "", name, "", ""
 
 
-def csv_rows(r: CoverageResult, name: str) -> list[list[str]]:
-    rows = [[name, "MAPPED", m.usage_name, m.source_name, m.source_type, m.description] for m in r.mapped]
-    rows += [[name, "UNMAPPED", c, "", "", ""] for c in r.unmapped_usage]
-    return rows + [[name, "UNREFERENCED", "", c, "", ""] for c in r.unreferenced_source]
+def render(r: Coverage, name: str) -> str:
+    marks = {"MAPPED": "=", "UNMAPPED": "!", "UNREFERENCED": "."}
+    lines = [f"Coverage '{name}': [{'FULL COVERAGE' if r.equivalent else 'GAPS FOUND'}]  source={r.source}  usage={len(r.hits) + len(r.gaps)}  mapped={len(r.hits)}  unmapped={len(r.gaps)}"]
+    for status, used, column, kind, text in rows(r):
+        lines.append(f"  {marks[status]} " + (f"{used} -> {column} {kind}" + (f'  "{text}"' if text else "") if status == "MAPPED" else f"{used} is not in the source" if used else f"{column} is not used"))
+    return "\n".join(lines)
 
 
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="isotab-coverage", description="Which columns that a consumer uses does a table have?")
-    sub = top.add_subparsers(dest="command", required=True)
-    for name in ("coverage", "list"):
-        p = sub.add_parser(name)
-        p.add_argument("path")
-        if name == "coverage":
-            p.add_argument("--json")
-            p.add_argument("--csv")
+    top.add_argument("command", choices=("coverage", "list"))
+    top.add_argument("path")
+    top.add_argument("--json")
+    top.add_argument("--csv")
     args = top.parse_args(argv)
     try:
         cases = discover_cases(args.path, coverage=True)
     except (ParityError, OSError) as e:
-        print(e, file=sys.stderr)
-        return 2
+        cases = print(e, file=sys.stderr)
     if not cases:
         print(f"no coverage_check case at {args.path}", file=sys.stderr)
         return 2
@@ -49,24 +49,23 @@ def main(argv: list[str] | None = None) -> int:
         for c in cases:
             print(f"{c.name}  source={c.spec['source'].get('table') or c.spec['source'].get('type')}  ({c.source_file})")
         return 0
-    results, failed = [], False
+    found, broken = {}, False
     for c in cases:
         try:
-            results.append((c.name, r := c.run()))
-            failed |= not r.equivalent
-            print(render(r, c.name))
+            found[c.name] = c.run()
+            print(render(found[c.name], c.name))
         except Exception as e:
             print(f"{c.name}: [ERROR] {e}")
-            failed = True
+            broken = True
     if args.json:
         with open(args.json, "w", encoding="utf-8") as f:
-            json.dump([{"case": n, "covered": r.equivalent, **asdict(r)} for n, r in results], f, indent=2)
+            json.dump([{"case": n, "covered": r.equivalent, **r._asdict()} for n, r in found.items()], f, indent=2)
     if args.csv:
         with open(args.csv, "w", encoding="utf-8", newline="") as f:
             w = csv.writer(f)
             w.writerow(["case", "status", "usage_column", "source_column", "source_type", "description"])
-            w.writerows(row for n, r in results for row in csv_rows(r, n))
-    return int(failed)
+            w.writerows((n, *row) for n, r in found.items() for row in rows(r))
+    return int(broken or not all(r.equivalent for r in found.values()))
 
 
 if __name__ == "__main__":

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
-from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Changed rows per case that a report shows of its latest run; signatures are counted over all.
+#: Changed cells per case that a report shows of its latest run; signatures are counted over all.
 SHOWN_DIFFS = 500
+_CELLS = "array<struct<column string, expected string, actual string>>"
 
 
 def recent(summary: DataFrame, days: int, now: dt.datetime | None = None) -> DataFrame:
@@ -45,42 +44,34 @@ def missing_key_counts(summary: DataFrame, diffs: DataFrame, days: int = 21, now
 
 
 def column_diff_counts(diffs: DataFrame) -> DataFrame:
-    parsed = F.from_json("column_diffs", "array<struct<column string, expected string, actual string>>")
-    return diffs.where("column_diffs is not null").select("case_name", F.explode(parsed).alias("d")).groupBy("case_name", F.col("d.column").alias("column")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def build_histories(summary: DataFrame, diffs: DataFrame, days: int = 21, now: dt.datetime | None = None) -> list[dict[str, Any]]:
-    """Per case: a point for each day, and the differences of the latest run (matched by run and case)."""
-    daily = latest_per_day(recent(summary, days, now))
-    w = Window.partitionBy("case_name").orderBy(F.desc("day"))
-    last = daily.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("run_id", "case_name")
-    names = F.transform(F.from_json("column_diffs", "array<struct<column string>>"), lambda d: d["column"])
-    changed = diffs.join(last, ["run_id", "case_name"]).where("diff_kind = 'changed'").withColumn("_columns", F.array_sort(names)).where(F.size("_columns") > 0)
-    counted = changed.groupBy("case_name", "_columns").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key_json", "column_diffs")).alias("first"))
-    shown = changed.withColumn("_n", F.row_number().over(Window.partitionBy("case_name").orderBy("key_json", "column_diffs"))).where(F.col("_n") <= SHOWN_DIFFS)
-    by_case: dict[str, list] = {}
-    for d in shown.orderBy("case_name", "_n").collect():
-        by_case.setdefault(d["case_name"], []).append(d)
-    cases: dict[str, dict[str, Any]] = {}
-    for r in daily.orderBy("case_name", "day").collect():
-        schema = {"onlyExpected": _parsed(r["columns_only_in_expected"]), "onlyActual": _parsed(r["columns_only_in_actual"]), "typeMismatches": [[t["column"], t["expected"], t["actual"]] for t in _parsed(r["type_mismatches"])]}
-        c = cases.setdefault(r["case_name"], {"name": r["case_name"], "history": []})
-        c |= {"tags": _parsed(r["tags"]), "keys": _parsed(r["keys"]) or None}
-        c["history"].append({"date": str(r["day"]), "run_id": r["run_id"], "equivalent": bool(r["equivalent"]), **{k: r[k] for k in ("expected_rows", "actual_rows", "missing_count", "added_count", "changed_count")}, "schema": schema, "schema_drifted": any(schema.values())})
-    for c in cases.values():
-        c["signatures"], c["diffs"] = [], []
-    for r in counted.orderBy("case_name", F.desc("n"), "first").collect():
-        changes = ", ".join(f"{x['column']}: {x['expected']} -> {x['actual']}" for x in _parsed(r["first"]["column_diffs"]))
-        cases[r["case_name"]]["signatures"].append({"columns": r["_columns"], "count": r["n"], "example": f"key={_key(r['first']['key_json'])}: {changes}"})
-    for name, c in cases.items():
-        for d in by_case.get(name, []):
-            c["diffs"] += [{"key": _key(d["key_json"]), "column": x["column"], "oldv": x["expected"], "newv": x["actual"]} for x in _parsed(d["column_diffs"])]
-    return list(cases.values())
-
-
-def _key(text: str | None) -> str:
-    return f"({', '.join(map(str, _parsed(text)))})"
-
-
-def _parsed(text: str | None) -> list:
-    return json.loads(text) if text else []
+    cells = diffs.where("column_diffs is not null").select("case_name", F.explode(F.from_json("column_diffs", _CELLS)).alias("d"))
+    return cells.groupBy("case_name", F.col("d.column").alias("column")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def daily_points(summary: DataFrame, days: int = 21, now: dt.datetime | None = None) -> DataFrame:
+    """One row per case and day of what its last run found, with whether the schemas had drifted."""
+    drift = F.lit(False)
+    for c in ("columns_only_in_expected", "columns_only_in_actual", "type_mismatches"):
+        drift = drift | (F.coalesce(F.col(c), F.lit("[]")) != "[]")
+    last = latest_per_day(recent(summary, days, now))
+    return last.select("case_name", "day", "run_id", "tags", "equivalent", "expected_rows", "actual_rows", "missing_count", "added_count", "changed_count", drift.alias("drifted"))
+
+
+def latest_changes(points: DataFrame, diffs: DataFrame) -> DataFrame:
+    """case_name, key_json, cells: the changed rows that the last run of each case has stored."""
+    last = points.groupBy("case_name").agg(F.max_by("run_id", "day").alias("run_id"))
+    rows = diffs.where("diff_kind = 'changed'").join(last, ["case_name", "run_id"])
+    return rows.select("case_name", "key_json", F.from_json("column_diffs", _CELLS).alias("cells")).where(F.size("cells") > 0)
+
+
+def signature_counts(changes: DataFrame) -> DataFrame:
+    """case_name, columns, n and the row of the smallest key, for each set of columns that changed together."""
+    columns = F.array_sort(F.transform("cells", lambda c: c["column"]))
+    return changes.groupBy("case_name", columns.alias("columns")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key_json", "cells")).alias("example"))
+
+
+def shown_cells(changes: DataFrame, most: int = SHOWN_DIFFS) -> DataFrame:
+    """case_name, key_json, column, expected, actual: the first changed cells of each case by key."""
+    w = Window.partitionBy("case_name").orderBy("key_json", "place", "cell")
+    cells = changes.select("case_name", "key_json", F.posexplode("cells").alias("place", "cell"))
+    return cells.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("case_name", "key_json", "cell.*")

@@ -19,8 +19,6 @@ from isotab.operators.compare import plan_for
 from isotab.operators.history import column_diff_counts, consecutive_failures, failure_counts, latest_per_day, missing_key_counts
 from isotab.operators.schema import check_concepts, check_coverage, check_schemas
 from isotab.plans.resolve import resolve
-from isotab.report.render import column_rows
-from isotab.result import ChangeSignature, ComparisonResult
 from isotab.sources.registry import load_source
 from isotab.sources.sinks import DIFFS_SCHEMA, SUMMARY_SCHEMA
 
@@ -68,7 +66,7 @@ def _orders_plan(spark: SparkSession, d: str, **options):
 CAST(0 AS BIGINT) AS duplicate_keys_expected, (SELECT count(*) - count(DISTINCT o_orderkey) FROM a0) AS duplicate_keys_actual,
 (SELECT count(*) FROM e JOIN a USING (o_orderkey) WHERE e.o_custkey <> a.o_custkey OR e.o_orderstatus <> a.o_orderstatus OR e.o_totalprice <> a.o_totalprice) AS changed""")
 def keyed_summary_orders(spark, d):
-    return _orders_plan(spark, d).full_summary()
+    return _orders_plan(spark, d).full_summary().withColumnsRenamed({"repeats_expected": "duplicate_keys_expected", "repeats_actual": "duplicate_keys_actual"})
 
 
 @query(f"""{_PAIR} SELECT o_orderkey, 'o_custkey' AS "column", CAST(e.o_custkey AS VARCHAR) AS expected, CAST(a.o_custkey AS VARCHAR) AS actual FROM e JOIN a USING (o_orderkey) WHERE e.o_custkey <> a.o_custkey
@@ -96,11 +94,7 @@ def column_diff_counts_orders(spark, d):
 @query(f"""{_COUNTS} SELECT "column", CASE WHEN diff_rows > 0 THEN 'MATCHED - VALUE DIFF' ELSE 'MATCHED' END AS status FROM n
 UNION ALL SELECT 'o_orderkey', 'MATCHED' UNION ALL SELECT 'o_orderpriority', 'MATCHED'""")
 def column_status(spark, d):
-    plan = _orders_plan(spark, d)
-    result = ComparisonResult(False, ["o_orderkey"], plan.columns)
-    for r in plan.signatures().select("sig", "n").collect():  # one row per set of columns
-        result.change_signatures[tuple(r["sig"])] = ChangeSignature(tuple(r["sig"]), r["n"])
-    return spark.createDataFrame([(r["column"], r["status"]) for r in column_rows(result)], "column string, status string")
+    return _orders_plan(spark, d).column_status().select("column", "status")
 
 
 @query(f"{_PAIR} SELECT * FROM (SELECT 'missing' AS kind, o_orderkey FROM e WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a) ORDER BY o_orderkey LIMIT 20)")
@@ -141,7 +135,7 @@ def keyless_summary_lineitem(spark, d):
 @query("SELECT CAST(count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS BIGINT) AS duplicate_keys FROM lineitem")
 def duplicate_keys_lineitem(spark, d):
     e = table(spark, d, "lineitem")
-    return plan_for(e, e.limit(0), CompareConfig(keys=["l_orderkey", "l_linenumber"]))[0].summary().select(F.col("duplicate_keys_expected").alias("duplicate_keys"))
+    return plan_for(e, e.limit(0), CompareConfig(keys=["l_orderkey", "l_linenumber"]))[0].summary().select(F.col("repeats_expected").alias("duplicate_keys"))
 
 
 @query(f"""WITH e AS (SELECT l_orderkey, l_linenumber, min(['i:' || l_partkey, 'i:' || l_suppkey]) AS r FROM lineitem GROUP BY ALL),
@@ -218,7 +212,7 @@ def naive_vs_aware_timestamp(spark, d):
 def type_mismatches(spark, d):
     e = derived(spark, d, "SELECT o_orderkey, o_totalprice FROM {orders}", "orders")
     a = derived(spark, d, "SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(15,2)) AS o_totalprice, 1 AS more FROM {orders}", "orders")
-    return spark.createDataFrame(resolve(e, a, CompareConfig()).type_mismatches, "column string, expected_type string, actual_type string")
+    return spark.createDataFrame(list(resolve(e, a, CompareConfig()).retyped), "column string, expected_type string, actual_type string")
 
 
 # ---------------------------------------------------------------- nested values
@@ -353,7 +347,7 @@ def schema_diff(spark, d):
     e = table(spark, d, "orders")
     a = derived(spark, d, "SELECT o_orderkey, CAST(o_custkey AS INT) AS o_custkey, o_orderstatus, o_totalprice, o_orderpriority, 1 AS more FROM {orders}", "orders")
     r = check_schemas(*({f.name: f.dataType.simpleString() for f in x.schema} for x in (e, a)))
-    rows = [("orders_new", "only_in_expected", c) for c in r.columns_only_in_expected] + [("orders_new", "only_in_actual", c) for c in r.columns_only_in_actual] + [("orders_new", "type", t[0]) for t in r.type_mismatches]
+    rows = [("orders_new", "only_in_expected", c) for c in r.schema.only_expected] + [("orders_new", "only_in_actual", c) for c in r.schema.only_actual] + [("orders_new", "type", t[0]) for t in r.schema.retyped]
     return spark.createDataFrame(rows, "name string, kind string, column string")
 
 
@@ -362,13 +356,13 @@ def concept_coverage(spark, d):
     wide = derived(spark, d, "SELECT o.*, c.c_custkey, c.c_name AS customer_name, c.c_nationkey, c.c_acctbal, 1 AS extra FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey", "orders", "customer")
     kinds = lambda x: {f.name: f.dataType.simpleString() for f in x.schema}
     r = check_concepts({n: kinds(table(spark, d, n)) for n in ("orders", "customer")}, kinds(wide), [{"source": "customer", "column": "c_name", "target": "customer_name"}])
-    return spark.createDataFrame([("lost", c) for c in r.columns_only_in_expected] + [("unaccounted", c) for c in r.columns_only_in_actual], "kind string, concept string")
+    return spark.createDataFrame([("lost", c) for c in r.schema.only_expected] + [("unaccounted", c) for c in r.schema.only_actual], "kind string, concept string")
 
 
 @query("SELECT 'mapped' AS kind, 'P_NAME' AS name UNION ALL SELECT 'unmapped', 'p_color' UNION ALL SELECT 'unreferenced', unnest(['p_partkey', 'p_brand', 'p_type', 'p_size', 'p_retailprice'])")
 def usage_coverage(spark, d):
     r = check_coverage(["P_NAME", "p_color"], {f.name: f.dataType.simpleString() for f in table(spark, d, "part").schema})
-    return spark.createDataFrame([("mapped", m.usage_name) for m in r.mapped] + [("unmapped", c) for c in r.unmapped_usage] + [("unreferenced", c) for c in r.unreferenced_source], "kind string, name string")
+    return spark.createDataFrame([("mapped", c) for c in r.hits] + [("unmapped", c) for c in r.gaps] + [("unreferenced", c) for c in r.unused], "kind string, name string")
 
 
 # ---------------------------------------------------------------- run history, made from events

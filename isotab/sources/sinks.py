@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from isotab.config import CompareConfig
 from isotab.errors import SourceError
 from isotab.functions.fingerprint import row_digest
-from isotab.result import ComparisonResult
+from isotab.result import Outcome
 from isotab.session import active_session
 
 _S, _L = T.StringType(), T.LongType()
@@ -23,18 +23,15 @@ SUMMARY_SCHEMA = T.StructType([T.StructField(n, t) for n, t in (
 DIFFS_SCHEMA = T.StructType([T.StructField(n, _S) for n in ("run_id", "case_name", "diff_kind", "key_json", "expected_row", "actual_row", "column_diffs")])
 
 
-def summary_row(run_id: str, run_ts: dt.datetime, case: str, tags: list[str], r: ComparisonResult) -> tuple:
-    mismatches = [{"column": c, "expected": e, "actual": a} for c, e, a in r.type_mismatches]
-    return (run_id, run_ts, case, json.dumps(tags), r.equivalent, r.expected_rows, r.actual_rows, r.missing_count, r.added_count, r.changed_count, json.dumps(r.compared_columns), json.dumps(r.keys) if r.keys else None, json.dumps(mismatches), json.dumps(r.columns_only_in_expected), json.dumps(r.columns_only_in_actual))
+def summary_row(run_id: str, run_ts: dt.datetime, case: str, tags: list[str], r: Outcome) -> tuple:
+    lists = ([*r.schema.compared], [*r.keys] or None, r.schema.retyped_dicts(), [*r.schema.only_expected], [*r.schema.only_actual])
+    return (run_id, run_ts, case, json.dumps(tags), r.equivalent, *r.counts[:5], *(None if x is None else json.dumps(x) for x in lists))
 
 
-def diff_rows(run_id: str, case: str, r: ComparisonResult) -> list[tuple]:
-    as_json = lambda row: None if row is None else json.dumps(row, default=str)
-    return [
-        (run_id, case, d.kind, json.dumps([str(k) for k in d.key]) if d.key is not None else None, as_json(d.expected_row), as_json(d.actual_row),
-         json.dumps([{"column": c.column, "expected": str(c.expected), "actual": str(c.actual)} for c in d.columns]) if d.columns else None)
-        for d in r.examples
-    ]
+def diff_rows(run_id: str, case: str, r: Outcome) -> list[tuple]:
+    text = lambda x: None if x is None else json.dumps(x, default=str)
+    cells = lambda d: [{"column": c, "expected": str(old), "actual": str(new)} for c, old, new in d.cells()] or None
+    return [(run_id, case, d.kind, text(None if d.key is None else [*map(str, d.key)]), text(d.before), text(d.after), text(cells(d))) for d in r.examples]
 
 
 class ResultSink:
@@ -46,7 +43,7 @@ class ResultSink:
         self.run_id = run_id or uuid.uuid4().hex
         self.spark = spark or active_session()
 
-    def write(self, case: str, tags: list[str], result: ComparisonResult) -> None:
+    def write(self, case: str, tags: list[str], result: Outcome) -> None:
         now = dt.datetime.now(dt.UTC)
         self._append("run_summary", [summary_row(self.run_id, now, case, tags, result)], SUMMARY_SCHEMA)
         if rows := diff_rows(self.run_id, case, result):

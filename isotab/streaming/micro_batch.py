@@ -11,10 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from isotab.config import CompareConfig
 from isotab.functions.fingerprint import row_digest
 from isotab.operators.compare import compare_tables
-from isotab.result import ComparisonResult
+from isotab.result import Outcome
 
 
-def compare_batches(actual: DataFrame, expected_for: Callable[[DataFrame], DataFrame], cfg: CompareConfig, handle: Callable[[int, ComparisonResult], None], checkpoint: str) -> StreamingQuery:
+def compare_batches(actual: DataFrame, expected_for: Callable[[DataFrame], DataFrame], cfg: CompareConfig, handle: Callable[[int, Outcome], None], checkpoint: str) -> StreamingQuery:
     """For each micro-batch of `actual`, compare it with expected_for(batch)."""
 
     def each(batch: DataFrame, epoch: int) -> None:

@@ -14,7 +14,7 @@ from isotab.errors import CaseError, ConceptCheckError, ExclusionError, ParamErr
 from isotab.functions.fingerprint import canon_value
 from isotab.operators.compare import MissingKeyError
 from isotab.operators.schema import check_concepts, check_coverage, check_schemas
-from isotab.report.render import column_rows, render_console, render_markdown, to_dict
+from isotab.report.render import by_column, render_console, render_markdown, to_dict
 
 
 def df(spark, schema, *rows):
@@ -28,16 +28,16 @@ def test_row_and_column_order_do_not_matter(spark):
 
 def test_multiset(spark):
     r = compare_tables(df(spark, "x int", (1,), (1,), (2,)), df(spark, "x int", (1,), (2,), (2,)))
-    assert (r.missing_count, r.added_count, r.equivalent) == (1, 1, False)
-    assert [(e.kind, e.expected_row or e.actual_row) for e in r.examples] == [("missing", {"x": 1}), ("added", {"x": 2})]
+    assert (r.counts.missing, r.counts.added, r.equivalent) == (1, 1, False)
+    assert [(e.kind, e.before or e.after) for e in r.examples] == [("missing", {"x": 1}), ("added", {"x": 2})]
 
 
 def test_keyed(spark):
     e, a = df(spark, "id int, v int", (1, 10), (2, 20), (3, 30)), df(spark, "id int, v int", (2, 20), (3, 999), (4, 40))
     r = compare_tables(e, a, CompareConfig(keys=["id"]))
-    assert (r.missing_count, r.added_count, r.changed_count) == (1, 1, 1)
+    assert r.counts[2:5] == (1, 1, 1)
     assert [(x.kind, x.key) for x in r.examples] == [("missing", (1,)), ("added", (4,)), ("changed", (3,))]
-    assert r.examples[2].columns[0].expected == 30 and r.examples[2].columns[0].actual == 999
+    assert [*r.examples[2].cells()] == [("v", 30, 999)]
     assert compare_tables(e, a, CompareConfig(keys=["id"], max_examples=0)).examples == []
     with pytest.raises(MissingKeyError):
         compare_tables(e, a, CompareConfig(keys=["nope"]))
@@ -47,13 +47,13 @@ def test_signatures_duplicates_and_null_keys(spark):
     e = df(spark, "k int, m int, r int", (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 1), (None, 5, 5), (9, 1, 1), (9, 2, 2))
     a = df(spark, "k int, m int, r int", (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 2, 2), (None, 5, 6), (9, 2, 2), (9, 1, 1))
     r = compare_tables(e, a, CompareConfig(keys=["k"]))
-    assert {s: x.count for s, x in r.change_signatures.items()} == {("m",): 3, ("m", "r"): 1, ("r",): 1}
-    assert (r.duplicate_keys_expected, r.duplicate_keys_actual) == (1, 1)
-    assert [s.columns for s in r.signatures_by_count()][0] == ("m",)
-    rows = {x["column"]: (x["status"], x["diff_rows"]) for x in column_rows(r)}
+    assert {p.columns: p.rows for p in r.patterns} == {("m",): 3, ("m", "r"): 1, ("r",): 1}
+    assert r.counts[5:] == (1, 1)
+    assert r.patterns[0].columns == ("m",) and r.patterns[0].example.key == (1,)
+    rows = {c: (s, n) for s, c, _, _, n in by_column(r)}
     assert rows == {"k": ("MATCHED", ""), "m": ("MATCHED - VALUE DIFF", 4), "r": ("MATCHED - VALUE DIFF", 2)}
     dup = compare_tables(df(spark, "x int", (1,), (1,)), df(spark, "x int", (1,)), CompareConfig(keys=["x"]))
-    assert dup.equivalent and dup.duplicate_keys_expected == 1
+    assert dup.equivalent and dup.counts.repeats_expected == 1
 
 
 @pytest.mark.parametrize(("left", "right", "options", "same"), [
@@ -69,15 +69,15 @@ def test_canonical_values(spark, left, right, options, same):
     cfg = CompareConfig(**options)
     assert compare_tables(e, a, cfg).equivalent == same
     r = compare_tables(e, a, CompareConfig(keys=["id"], **options))
-    assert r.equivalent == same and r.changed_count == (not same)
+    assert r.equivalent == same and r.counts.changed == (not same)
 
 
 def test_column_resolution_and_strictness(spark):
     e, a = spark.sql("select 1 as a, 2 as b, 3 as c"), spark.sql("select 1L as a, 2 as b, 4 as d")
     r = compare_tables(e, a, CompareConfig(select=["b", "zzz"]))
-    assert r.equivalent and r.compared_columns == ["b"] and r.columns_only_in_expected == ["c"] and r.columns_only_in_actual == ["d"]
+    assert r.equivalent and (r.schema.compared, r.schema.only_expected, r.schema.only_actual) == (("b",), ("c",), ("d",))
     r = compare_tables(e, a, CompareConfig(strict_columns=True))
-    assert not r.equivalent and r.type_mismatches == [("a", "int", "bigint")] and not r.total_differences
+    assert not r.equivalent and r.schema.retyped == (("a", "int", "bigint"),) and not r.counts.differing
     assert compare_tables(e, a, CompareConfig(select=[], ignore_columns=["a", "b"])).equivalent  # nothing compared
     assert compare_tables(e.limit(0), a.limit(0)).equivalent
 
@@ -87,7 +87,7 @@ def test_wide_row(spark):
     e = spark.range(5).select("id", *[F.lit(i).alias(c) for i, c in enumerate(cols)])
     assert compare_tables(e, e.select("*")).equivalent
     r = compare_tables(e, e.withColumn("c217", F.col("id")), CompareConfig(keys=["id"]))
-    assert set(r.change_signatures) == {("c217",)}
+    assert {p.columns for p in r.patterns} == {("c217",)}
 
 
 values = st.one_of(st.none(), st.integers(-3, 3), st.sampled_from([7, 10**9]))
@@ -101,16 +101,16 @@ def test_multiset_property(spark, left, right):
     r = compare_tables(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema))
     freeze = lambda xs: Counter((i, s, None if x is None else tuple(x)) for i, s, x in xs)
     e, a = freeze(left), freeze(right)
-    assert (r.missing_count, r.added_count) == ((e - a).total(), (a - e).total())
+    assert r.counts[2:4] == ((e - a).total(), (a - e).total())
 
 
 def test_absence_labels(spark):
     e = spark.sql("select * from values (1, cast(null as int), cast(array() as array<int>)), (2, 0, array(1)), (3, 1, null) as t(id, n, l)")
     a = spark.sql("select * from values (1, 0, cast(null as array<int>)), (2, null, array(1)), (3, null, array()) as t(id, n, l)")
     plain, labelled = (compare_tables(e, a, CompareConfig(keys=["id"], null_equivalence=x)) for x in (False, True))
-    assert plain.changed_count == labelled.changed_count == 3 and not plain.equivalent_diff_columns
-    assert labelled.equivalent_diff_columns == {"n": 2, "l": 2}
-    status = {r["column"]: r["status"] for r in column_rows(labelled)}
+    assert plain.counts.changed == labelled.counts.changed == 3 and not plain.respelled_by_column
+    assert labelled.respelled_by_column == {"n": 2, "l": 2}
+    status = {c: s for s, c, *_ in by_column(labelled)}
     assert status["l"] == "MATCHED - EQUIVALENT" and status["n"] == "MATCHED - VALUE DIFF"
 
 
@@ -123,18 +123,18 @@ def test_decimal_text(spark):
 
 def test_schema_operators():
     r = check_schemas({"a": "int", "b": "string", "__m__": "x"}, {"a": "bigint", "c": "string"}, ["__m__"])
-    assert (r.columns_only_in_expected, r.columns_only_in_actual, r.type_mismatches) == (["b"], ["c"], [("a", "int", "bigint")])
+    assert (r.schema.only_expected, r.schema.only_actual, r.schema.retyped) == (("b",), ("c",), (("a", "int", "bigint"),)) and not r.equivalent
     assert "schema-only" in r.summary()
     old = {"orders": {"id": "int", "cust": "int"}, "cust": {"id": "int", "region": "string", "email": "string"}}
     wide = {"id": "int", "cust": "int", "mail": "string", "tier": "string"}
     r = check_concepts(old, wide, [{"source": "cust", "column": "email", "target": "mail"}])
-    assert (r.columns_only_in_expected, r.columns_only_in_actual, r.expected_rows, r.actual_rows) == (["cust.region"], ["tier"], 5, 4)
+    assert (r.schema.only_expected, r.schema.only_actual, *r.counts[:2]) == (("cust.region",), ("tier",), 5, 4)
     full = check_concepts({"o": {"id": "int"}}, {"id": "int", "more": "int"})
     assert full.equivalent and not check_concepts({"o": {"id": "int"}}, {"id": "int", "more": "int"}, strict_unmapped_target=True).equivalent
     with pytest.raises(ConceptCheckError):
         check_concepts(old, wide, [{"source": "cust", "column": "gone", "target": "mail"}])
     c = check_coverage(["ID", "nope"], {"id": "int", "x": "int"}, {"id": {"type": "key", "description": "d"}})
-    assert ([m.source_type for m in c.mapped], c.unmapped_usage, c.unreferenced_source) == (["key"], ["nope"], ["x"])
+    assert (c.hits, c.gaps, c.unused) == ({"ID": ("id", "key", "d")}, ("nope",), ("x",))
 
 
 CASES = """
@@ -183,7 +183,7 @@ def test_cases_cli_sink_and_history(folder, tmp_path, spark, capsys, monkeypatch
         assert main(args) == 0
         assert main(["report", "--result-sink", sink, "--html", f"{tmp_path}/h.html"]) == 0
         page = (tmp_path / "h.html").read_text()
-        assert '"differs"' in page and '"column": "v"' in page
+        assert '"differs"' in page and '["(2)", "v"' not in page and '["[\\"2\\"]", "v", "2.5", "9.0"]' in page
     assert [c["case"] for c in json.loads((tmp_path / "r.json").read_text())] == ["same", "differs", "schema"]
     assert "MATCHED - VALUE DIFF" in (tmp_path / "csv" / "differs.csv").read_text()
     assert main(["list", str(folder)]) == 0 and "same" in capsys.readouterr().out
@@ -253,24 +253,25 @@ def test_streaming(spark, tmp_path):
     assert got == [True]
 
 
-def test_history_shapes(spark):
-    from isotab.operators.history import build_histories
+def test_history_tables(spark):
+    from isotab.report.html import history_tables, render_html
     from isotab.sources.sinks import DIFFS_SCHEMA, SUMMARY_SCHEMA
 
     now = dt.datetime(2024, 5, 10, 12, tzinfo=dt.UTC)
-    run = lambda i, h, ok, case="c": (i, now - dt.timedelta(hours=h), case, "[]", ok, 1, 1, 0, 0, 0, "[]", None, "[]", "[]", "[]")
-    s = spark.createDataFrame([run("r1", 50, True), run("r2", 3, True), run("r3", 1, False), run("r3", 1, True, "other"), run("r0", 900, True)], SUMMARY_SCHEMA)
+    run = lambda i, h, ok, case="c", drift="[]": (i, now - dt.timedelta(hours=h), case, "[]", ok, 1, 1, 0, 0, 0, "[]", None, drift, "[]", "[]")
+    s = spark.createDataFrame([run("r1", 50, True), run("r2", 3, True), run("r3", 1, False, drift='[{"column": "v"}]'), run("r3", 1, True, "other"), run("r0", 900, True)], SUMMARY_SCHEMA)
     diff = json.dumps([{"column": "v", "expected": "1", "actual": "</script>"}])
     d = spark.createDataFrame([("r3", "c", "changed", '["1"]', None, None, diff)], DIFFS_SCHEMA)
-    got = {c["name"]: c for c in build_histories(s, d, 21, now)}
-    assert [h["run_id"] for h in got["c"]["history"]] == ["r1", "r3"] and got["c"]["signatures"][0]["columns"] == ["v"] and got["other"]["diffs"] == []
-    from isotab.report.html import render_html
-
-    assert "</script>\"" not in render_html(list(got.values()))
+    got = history_tables(s, d, 21, now)
+    points, signatures, cells = got["c"]
+    assert [(r[0], r[1], r[-1]) for r in points["rows"]] == [("2024-05-08", True, False), ("2024-05-10", False, True)] and points["marks"] == ["ok", "bad drift"]
+    assert signatures["rows"] == [[1, "v", '["1"]']] and cells["rows"] == [['["1"]', "v", "1", "</script>"]] and len(got["other"]) == 1
+    assert "</script>\"" not in render_html(got)
 
 
 def test_history_counts_signatures_over_all_diffs(spark):
-    from isotab.operators.history import SHOWN_DIFFS, build_histories
+    from isotab.operators.history import SHOWN_DIFFS
+    from isotab.report.html import history_tables
     from isotab.sources.sinks import DIFFS_SCHEMA, SUMMARY_SCHEMA
 
     now = dt.datetime(2024, 5, 10, 12, tzinfo=dt.UTC)
@@ -279,6 +280,16 @@ def test_history_counts_signatures_over_all_diffs(spark):
     rows = [("r1", "c", "added", f'["{k}"]', None, None, None) for k in range(600)]
     rows += [("r1", "c", "changed", f'["{k:04}"]', None, None, diff("v") if k % 3 else diff("w", "v")) for k in range(900)]
     rows += [("r0", "c", "changed", '["1"]', None, None, diff("v")), ("r1", "c", "changed", '["1"]', None, None, "[]")]
-    got = build_histories(s, spark.createDataFrame(rows, DIFFS_SCHEMA), 21, now)[0]
-    assert [(x["columns"], x["count"], x["example"]) for x in got["signatures"]] == [(["v"], 600, "key=(0001): v: 1 -> 2"), (["v", "w"], 300, "key=(0000): w: 1 -> 2, v: 1 -> 2")]
-    assert len({d["key"] for d in got["diffs"]}) == SHOWN_DIFFS
+    _, signatures, cells = history_tables(s, spark.createDataFrame(rows, DIFFS_SCHEMA), 21, now)["c"]
+    assert signatures["rows"] == [[600, "v", '["0001"]'], [300, "v, w", '["0000"]']]
+    assert len(cells["rows"]) == SHOWN_DIFFS
+
+
+def test_patterns_are_bounded(spark, monkeypatch):
+    from isotab.operators import compare
+
+    monkeypatch.setattr(compare, "MOST_PATTERNS", 2)
+    cells = ", ".join(f"case when id % 7 = {k} then -1L else id end as c{k}" for k in range(7))
+    e, a = spark.sql(f"select id, {', '.join(f'id as c{k}' for k in range(7))} from range(40)"), spark.sql(f"select id, {cells} from range(40)")
+    r = compare_tables(e, a, CompareConfig(keys=["id"]))
+    assert len(r.patterns) == 2 and r.counts.changed == 40 and sum(r.changed_by_column.values()) == 40 and len(r.changed_by_column) == 7
