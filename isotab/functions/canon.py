@@ -10,6 +10,8 @@ and Tz with a zone, L list, Lu list as a multiset, S struct, M map, V variant, I
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,7 @@ from isotab.errors import UnsupportedTypeError
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 #: Python's str.strip() also removes the separators \x1c to \x1f.
 _STRIP = r"(?U)^[\\s\\x1c-\\x1f]+|[\\s\\x1c-\\x1f]+$"
-FOLD_UDF = "isotab_casefold"
+FOLD_UDF, VARIANT_UDF = "isotab_casefold", "isotab_variant"
 
 
 def quote(name: str) -> str:
@@ -102,7 +104,10 @@ def _body(expr: str, dtype: T.DataType, o: CanonOptions, unordered: bool, depth:
         case T.DayTimeIntervalType() | T.YearMonthIntervalType() | T.CalendarIntervalType():
             return f"concat('I:', cast({expr} as string))"
         case T.VariantType():
-            return f"concat('V:', to_json({expr}))"
+            if depth or not (o.float_tolerance > 0 or o.coerce_numeric_to_float or o.trim_strings or o.case_insensitive or unordered):
+                return f"concat('V:', to_json({expr}))"
+            flags = ", ".join(str(bool(x)).lower() for x in (o.coerce_numeric_to_float, o.trim_strings, o.case_insensitive, unordered))
+            return f"concat('V:', {VARIANT_UDF}(to_json({expr}), {max(o.float_tolerance, 0.0)!r}D, {flags}))"
     if type(dtype).__name__ == "TimeType":
         return f"concat('H:', cast({expr} as string))"
     raise UnsupportedTypeError(f"no canonical form for type {dtype.simpleString()} of {expr}; cast it in the source query or add it to ignore_columns")
@@ -121,6 +126,44 @@ def column_sql(name: str, dtype: T.DataType, o: CanonOptions) -> str:
     return canon_sql(quote(name), dtype, o, name in o.unordered_list_columns)
 
 
+def variant_form(text: str, tolerance: float, coerce: bool, trim: bool, fold: bool, unordered: bool) -> str:
+    """The canonical JSON of a variant whose values the options reach into: names of fields in order, numbers on the grid of
+    the tolerance (those with a fraction, or all if coerced), strings trimmed and folded, lists of the first level as multisets."""
+
+    def form(x, level: int):
+        match x:
+            case dict():
+                return {k: form(x[k], level + 1) for k in sorted(x)}
+            case list():
+                parts = [form(v, level + 1) for v in x]
+                return sorted(parts, key=json.dumps) if unordered and level <= 1 else parts
+            case str():
+                x = x.strip() if trim else x
+                return x.lower() if fold else x
+            case bool() | None:
+                return x
+        number = float(x) if coerce or isinstance(x, float) else x
+        if isinstance(number, float) and tolerance > 0 and abs(number / tolerance) <= 1e37:
+            return ["grid", round(number / tolerance)]
+        return number
+
+    return json.dumps(form(json.loads(text), 0), ensure_ascii=False)
+
+
+def register_variant(spark) -> None:
+    """What a variant holds is known by its rows alone, so options reach into it by an Arrow UDF. Variants inside lists, maps
+    and structs are compared without options."""
+
+    @F.pandas_udf(T.StringType())
+    def form(text: pd.Series, tolerance: pd.Series, coerce: pd.Series, trim: pd.Series, fold: pd.Series, unordered: pd.Series) -> pd.Series:
+        if not len(text):
+            return text
+        options = [float(tolerance.iloc[0]), *(bool(x.iloc[0]) for x in (coerce, trim, fold, unordered))]
+        return text.map(lambda t: None if t is None else variant_form(t, *options))
+
+    spark.udf.register(VARIANT_UDF, form)
+
+
 def register_casefold(spark) -> None:
     """The exact folding of case: Spark's lower() keeps 'ß', Python's casefold() gives 'ss'."""
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from isotab.config import CompareConfig
 from isotab.errors import ParityError
-from isotab.functions.canon import register_casefold
+from isotab.functions.canon import register_casefold, register_variant
 from isotab.functions.fingerprint import fields_of
 from isotab.plans.keyed import KeyedPlan
 from isotab.plans.keyless import KeylessPlan
@@ -28,6 +28,8 @@ def plan_for(expected: DataFrame, actual: DataFrame, cfg: CompareConfig) -> tupl
     """The lazy plan of a comparison; nothing runs before one of its DataFrames is used."""
     if cfg.exact_casefold:
         register_casefold(expected.sparkSession)
+    if any("variant" in t.simpleString() for df in (expected, actual) for t in fields_of(df).values()):
+        register_variant(expected.sparkSession)
     found = resolve(expected, actual, cfg)
     columns = list(found.compared)
     if not cfg.keys:

@@ -180,14 +180,15 @@ def coerce_numeric(spark, d):
     return _summary(spark, d, "SELECT p_partkey, p_size AS n FROM {part}", right, ("part",), keys=["p_partkey"], coerce_numeric_to_float=True)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS changed FROM (SELECT 1)")
+@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added, count(*) FILTER (p_partkey % 6 = 0) AS changed FROM part")
 def decimal_trailing_zeros(spark, d):
-    return _summary(spark, d, "SELECT p_partkey, CAST(p_retailprice AS DECIMAL(15,2)) AS n FROM {part}", "SELECT p_partkey, CAST(CAST(p_retailprice AS DECIMAL(15,2)) AS DECIMAL(20,6)) AS n FROM {part}", ("part",), keys=["p_partkey"])
+    right = "SELECT p_partkey, CAST(CAST(p_retailprice AS DECIMAL(15,2)) + CASE WHEN p_partkey % 6 = 0 THEN 0.000001 ELSE 0 END AS DECIMAL(20,6)) AS n FROM {part}"
+    return _summary(spark, d, "SELECT p_partkey, CAST(p_retailprice AS DECIMAL(15,2)) AS n FROM {part}", right, ("part",), keys=["p_partkey"])
 
 
-@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added FROM (SELECT 1)")
+@query("SELECT count(*) FILTER (p_partkey % 5 = 0) AS missing, count(*) FILTER (p_partkey % 5 = 0) AS added FROM part")
 def int_width(spark, d):
-    return _summary(spark, d, "SELECT p_partkey, p_size AS n FROM {part}", "SELECT p_partkey, CAST(p_size AS BIGINT) AS n FROM {part}", ("part",))
+    return _summary(spark, d, "SELECT p_partkey, p_size AS n FROM {part}", "SELECT CAST(p_partkey AS DECIMAL(20,0)) AS p_partkey, CAST(p_size AS BIGINT) + CASE WHEN p_partkey % 5 = 0 THEN 4294967296 ELSE 0 END AS n FROM {part}", ("part",))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added, count(*) FILTER (c_custkey % 11 = 0) AS changed FROM customer")
@@ -221,9 +222,9 @@ _ITEMS = "SELECT o.o_orderkey, array_sort(collect_list(struct(l.l_linenumber, l.
 _MULTI = "(SELECT count(*) FROM (SELECT l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey HAVING count(DISTINCT (l_linenumber, l_partkey, l_suppkey)) > 1))"
 
 
-@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added FROM (SELECT 1)")
+@query("WITH i AS (SELECT l_orderkey, count(*) FILTER (l_partkey % 100 = 7) AS odd FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1) SELECT count(*) FILTER (odd > 0) AS missing, count(*) FILTER (odd > 0) AS added FROM i")
 def nested_bcv_list_struct(spark, d):
-    right = _ITEMS.replace("struct(l.l_linenumber, l.l_partkey, l.l_suppkey)", "struct(l.l_linenumber AS l_linenumber, l.l_partkey AS l_partkey, l.l_suppkey AS l_suppkey)").replace("FROM {orders} o JOIN {lineitem} l", "FROM {lineitem} l JOIN {orders} o")
+    right = _ITEMS.replace("struct(l.l_linenumber, l.l_partkey, l.l_suppkey)", "struct(l.l_linenumber AS l_linenumber, l.l_partkey AS l_partkey, CASE WHEN l.l_partkey % 100 = 7 THEN -1L ELSE l.l_suppkey END AS l_suppkey)").replace("FROM {orders} o JOIN {lineitem} l", "FROM {lineitem} l JOIN {orders} o")
     return _summary(spark, d, _ITEMS, right, ("orders", "lineitem"))
 
 
@@ -241,9 +242,10 @@ def map_unordered(spark, d):
 _PRIORITIES = "SELECT o_custkey, sort_array(collect_list(o_orderpriority)) AS p FROM {orders} GROUP BY o_custkey"
 
 
-@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS changed FROM (SELECT 1)")
+@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added, count(DISTINCT o_custkey) FILTER (o_custkey % 12 = 0) AS changed FROM orders")
 def list_unordered(spark, d):
-    return _summary(spark, d, _PRIORITIES, _PRIORITIES.replace("sort_array(collect_list(o_orderpriority))", "reverse(sort_array(collect_list(o_orderpriority)))"), ("orders",), keys=["o_custkey"], unordered_list_columns=["p"])
+    right = _PRIORITIES.replace("sort_array(collect_list(o_orderpriority))", "reverse(sort_array(concat(collect_list(o_orderpriority), IF(o_custkey % 12 = 0, array('more'), CAST(array() AS array<string>)))))")
+    return _summary(spark, d, _PRIORITIES, right, ("orders",), keys=["o_custkey"], unordered_list_columns=["p"])
 
 
 @query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added, count(*) FILTER (n > 1) AS changed FROM (SELECT count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY o_custkey)")
@@ -280,14 +282,17 @@ def null_equivalence_counts(spark, d):
 
 @query("SELECT event_id, user_id FROM events WHERE user_id % 10 = 3")
 def modulus_sample(spark, d):
-    return derived(spark, d, "SELECT event_id, user_id FROM {events} WHERE pmod(user_id, 10) = 3", "events")
+    return load_source({"type": "parquet", "path": f"{d}/events.parquet", "row_filter": "pmod(user_id, 10) = 3", "columns": ["event_id", "user_id"]}, spark=spark)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS added, CAST(0 AS BIGINT) AS changed FROM (SELECT 1)")
+@query(f"{_PAIR} SELECT (SELECT count(*) FROM e WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a)) AS missing, (SELECT count(*) FROM a0 WHERE o_orderkey NOT IN (SELECT o_orderkey FROM e)) AS added, (SELECT count(*) FROM e JOIN a USING (o_orderkey) WHERE e.o_custkey <> a.o_custkey OR e.o_orderstatus <> a.o_orderstatus OR e.o_totalprice <> a.o_totalprice) AS changed")
 def hash_sample_parity(spark, d):
-    """A keyed sample of both sides holds the same keys, so the comparison finds nothing one-sided."""
-    e = hash_sample(derived(spark, d, ORDERS, "orders"), ["o_orderkey"], 10)
-    return plan_for(e, hash_sample(derived(spark, d, ORDERS, "orders"), ["o_orderkey"], 10), CompareConfig(keys=["o_orderkey"]))[0].full_summary().select("missing", "added", "changed")
+    """Keyed samples of both sides hold the same keys: what the comparisons of all four find adds up to the whole."""
+    from functools import reduce
+
+    e, a = derived(spark, d, ORDERS, "orders"), derived(spark, d, ORDERS_NEW, "orders")
+    parts = [plan_for(*(hash_sample(x, ["o_orderkey"], 4, r) for x in (e, a)), CompareConfig(keys=["o_orderkey"]))[0].full_summary() for r in range(4)]
+    return reduce(DataFrame.unionAll, parts).agg(*[F.sum(c).alias(c) for c in ("missing", "added", "changed")])
 
 
 _BATCHES = "WITH l AS (SELECT DISTINCT CAST(ts AS DATE) AS b FROM {events} WHERE event_id % 2 = 0), r AS (SELECT DISTINCT CAST(ts AS DATE) AS b FROM {events} WHERE event_id % 2 = 1), c AS (SELECT b FROM l INTERSECT SELECT b FROM r), n AS (SELECT b, row_number() OVER (ORDER BY b DESC) AS i FROM c) SELECT CAST(b AS {text}) AS batch FROM n WHERE i = 2"
@@ -324,8 +329,7 @@ def hourly_grid(spark, d):
 def param_scalar(spark, d):
     from isotab.cases.params import resolve_param_queries
 
-    table(spark, d, "events").createOrReplaceTempView("isotab_events")
-    got = resolve_param_queries({"last": {"type": "sql", "query": "SELECT max(event_id) FROM isotab_events"}}, {})
+    got = resolve_param_queries({"last": {"type": "sql", "query": f"SELECT max(event_id) FROM parquet.`{d}/events.parquet`"}}, {})
     return spark.createDataFrame([(got["last"],)], "value string")
 
 

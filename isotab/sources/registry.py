@@ -17,6 +17,10 @@ from isotab.session import active_session
 from isotab.types import parse_type
 
 
+#: Files that `lenient` reads one by one, and bytes of a result that may pass through the driver.
+LENIENT_FILES, DRIVER_BYTES = 1000, 1 << 30
+
+
 class Context:
     """What a handler may need besides its spec."""
 
@@ -131,9 +135,11 @@ def parquet(spec: Mapping[str, Any], cx: Context) -> DataFrame:
     if spec.get("lenient"):
         from functools import reduce
 
-        files = [r[0] for r in cx.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").collect()]
+        files = [r[0] for r in cx.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").limit(LENIENT_FILES + 1).collect()]
         if not files:
             raise SourceError(f"no Parquet file at {path}")
+        if len(files) > LENIENT_FILES:
+            raise SourceError(f"{path} has more than {LENIENT_FILES} files, too many to be widened one by one; read it without `lenient`, or rewrite it with one schema")
         return _selected(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (cx.spark.read.parquet(f) for f in sorted(files))), spec)
     try:
         return _selected(cx.spark.read.option("mergeSchema", True).parquet(path), spec)
@@ -145,12 +151,15 @@ def arrow(spec: Mapping[str, Any], cx: Context) -> DataFrame:
     """An Arrow IPC or Feather file on the driver's machine, of fixture size."""
     import pyarrow.feather as feather
 
-    return cx.spark.createDataFrame(feather.read_table(cx.path(str(need(spec, "path")))))
+    path = cx.path(str(need(spec, "path")))
+    if os.path.getsize(path) > DRIVER_BYTES:
+        raise SourceError(f"{path} has more than {DRIVER_BYTES} bytes, which would pass through the driver; write it as Parquet")
+    return cx.spark.createDataFrame(feather.read_table(path))
 
 
 def sql(spec: Mapping[str, Any], cx: Context) -> DataFrame:
     """Spark SQL: `setup` statements first, then `query`, `query_file` or `table`. With `database` naming a DuckDB file,
-    the query runs there and its result comes back through Arrow."""
+    the query runs there and its result, of DRIVER_BYTES at most, comes back through Arrow."""
     if spec.get("database") and spec["database"] != ":memory:":
         import duckdb
 
@@ -158,7 +167,7 @@ def sql(spec: Mapping[str, Any], cx: Context) -> DataFrame:
             for statement in spec.get("setup") or []:
                 con.execute(statement)
             text = cx.query(spec) or f'SELECT * FROM {need(spec, "table")}'
-            return cx.spark.createDataFrame(con.execute(text).to_arrow_table())
+            return cx.spark.createDataFrame(_bounded(con.sql(text), str(spec["database"])))
     for statement in spec.get("setup") or []:
         cx.spark.sql(statement)
     if text := cx.query(spec):
@@ -166,6 +175,18 @@ def sql(spec: Mapping[str, Any], cx: Context) -> DataFrame:
     return _selected(cx.spark.table(str(need(spec, "table"))), spec)
 
 
+def _bounded(result, name: str):
+    import pyarrow as pa
+
+    reader, batches, size = result.to_arrow_reader(1 << 16), [], 0
+    for batch in reader:
+        batches.append(batch)
+        size += batch.nbytes
+        if size > DRIVER_BYTES:
+            raise SourceError(f"the result from {name} has more than {DRIVER_BYTES} bytes, which would pass through the driver; write it as Parquet")
+    return pa.Table.from_batches(batches, reader.schema)
+
+
 def iceberg(spec: Mapping[str, Any], cx: Context) -> DataFrame:
     name = str(need(spec, "table"))
     return _selected(cx.spark.read.format("iceberg").load(f"{spec['catalog']}.{name}" if isinstance(spec.get("catalog"), str) else name), spec)
