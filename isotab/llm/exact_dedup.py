@@ -7,7 +7,9 @@ crosses the network once; what comes of it is checkpointed without the text.
 
 A text that many rows share would land in one task. Counts by hash, combined before their shuffle, tell which hashes
 exceed 1/8 of a partition's share; there are at most 8 per partition, so the list has a proven bound and is broadcast.
-Their rows are dealt over salts, every salt finds its local keeper, and the keepers of all salts are compared in turn.
+Their rows are dealt over salts by their place in the table, so that rows alike in all columns part too; every salt finds its
+local keeper, and the keepers of all salts are compared in turn. Only salted rows are joined with what comes of that, by the
+join that Spark chooses for the measured size.
 """
 
 from __future__ import annotations
@@ -35,10 +37,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hot_at = max(2, rows // (8 * parts))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     norm = F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.char_length(text).alias("n"), norm.alias("norm")).withColumn("h", F.xxhash64("norm"))
+    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.char_length(text).alias("n"), norm.alias("norm")).withColumn("h", F.xxhash64("norm")).withColumn("at", F.monotonically_increasing_id())
     hot = base.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > hot_at)
     hot = hot.select("h", F.ceil(F.col("copies") / hot_at).alias("salts"))
-    salted = base.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("salts").isNull(), -1).otherwise(F.pmod(F.xxhash64("doc_id", "n"), F.col("salts")))).drop("salts")
+    salted = base.join(F.broadcast(hot), "h", "left").withColumn("salt", F.when(F.col("salts").isNull(), -1).otherwise(F.pmod(F.xxhash64("at"), F.col("salts")))).drop("salts")
     dealt = salted.withColumn("prefix", F.substring("norm", 1, PREFIX)).repartitionByRange("prefix", "h", "salt")
     group = Window.partitionBy("prefix", "h", "salt", "norm")
     ordered = group.orderBy(F.desc("n"), F.asc_nulls_last("doc_id"))
@@ -51,6 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = Window.partitionBy("norm")
     best = same.orderBy(F.desc("keep_n"), F.asc_nulls_last("keep_id"), "salt")
     merged = keepers.select("text_sha256", "salt", F.first("keep_id").over(best).alias("all_id"), F.first("salt").over(best).alias("all_salt"), F.sum("group_size").over(same).alias("all_size"))
-    out = local.drop("norm").join(F.broadcast(merged), ["text_sha256", "salt"], "left")
-    whole = F.col("all_size").isNull()
-    return out.select("doc_id", F.when(whole, F.col("keep_id")).otherwise(F.col("all_id")).alias("keep_id"), F.coalesce("all_size", "group_size").alias("group_size"), ((F.col("place") == 1) & (whole | (F.col("salt") == F.col("all_salt")))).alias("kept"), "text_sha256")
+    cold = local.where("salt < 0").select("doc_id", "keep_id", "group_size", (F.col("place") == 1).alias("kept"), "text_sha256")
+    hot_rows = local.where("salt >= 0").select("doc_id", "salt", "place", "text_sha256").join(merged, ["text_sha256", "salt"])
+    kept = (F.col("place") == 1) & (F.col("salt") == F.col("all_salt"))
+    return cold.unionByName(hot_rows.select("doc_id", F.col("all_id").alias("keep_id"), F.col("all_size").alias("group_size"), kept.alias("kept"), "text_sha256"))
