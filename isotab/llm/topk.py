@@ -4,8 +4,9 @@ Rows are dealt into shards of a bounded number by a hash. In a shard, a KD-tree
 dimension and keeps each node's tight bounding box. A query walks the tree best first: the bound of a node is the
 largest inner product that any point of its box could have with the query, and the walk ends where no bound reaches
 the kth best score so far. Every query first searches one home shard; the kth score found there goes with it to all
-others, so most of their trees are never entered far. Queries come in blocks of a bounded number; a task holds one
-shard and one block. The work is queries times shards at worst, as an exact search of all rows must be.
+others and cuts off what cannot reach it. Queries come in blocks of a bounded number, as large as a shard, so that rows are
+copied once per block of queries and a shard's tree is built once for all of a block; a task holds one
+shard and one block, and scores of some hundred queries at a time. The work is queries times shards at worst, as an exact search of all rows must be.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isotab.llm.common import checkpointed
+
 SCALE = 64
-K, SHARD_ROWS, QUERY_BLOCK, LEAF = 20, 16_384, 2048, 256
+K, SHARD_ROWS, QUERY_BLOCK, LEAF = 20, 16_384, 16_384, 256
+#: Queries whose scores with a leaf are computed together.
+TOGETHER = 256
 
 
 class KdTree:
@@ -61,8 +66,16 @@ def search(ids: np.ndarray, points: np.ndarray, query_ids: np.ndarray, queries:
     kind = exact_type(points, queries)
     points, queries = points.astype(kind), queries.astype(kind)
     tree = KdTree(points, leaf)
-    bound = tree.bounds(queries)
-    scored: dict[int, np.ndarray] = {}  # a leaf's scores for the whole block, from its first visit
+    out: list[tuple[int, int, int]] = []
+    for at in range(0, len(queries), TOGETHER):
+        part = slice(at, at + TOGETHER)
+        out += _walked(tree, ids, query_ids[part], queries[part], floor[part], k)
+    return out
+
+
+def _walked(tree: KdTree, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: list[int | None], k: int) -> list[tuple[int, int, int]]:
+    points, bound = tree.points, tree.bounds(queries)
+    scored: dict[int, np.ndarray] = {}  # a leaf's scores for these queries, from its first visit
     out = []
     for q, own in enumerate(query_ids):
         kth, best_s, best_i = floor[q], np.empty(0, points.dtype), np.empty(0, np.int64)
@@ -98,7 +111,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     """query_id, rank, vec_id, score: each query's k best rows by inner product of floor(scale * component).
 
     Rows whose id or vector is NULL, or that hold a NULL or non-finite component, take no part. Vectors of different
-    lengths are not compared. A query's own id is never in its result; a candidate that stands twice in the table counts
+    lengths are not compared. A query's own id is never in its result; of rows that repeat a query's id, the one whose vector comes first in order asks; a candidate that stands twice in the table counts
     twice. A table without queries gives an empty result; other columns are ignored.
     """
     v = F.col(f"`{vector_col}`")
@@ -108,10 +121,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     count = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).collect()[0]
     shards, blocks = max(1, -(-count["n"] // shard_rows)), max(1, -(-count["q"] // query_block))
     here = rows.select("id", "v", "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    asked = rows.where("asks").dropDuplicates(["id"]).select("id", "v", "dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int").alias("home"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
+    asked = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int").alias("home"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"))
     at_home = asked.select("id", "v", "dim", F.col("home").alias("shard"), F.col("block"), F.lit(None).cast("long").alias("floor"))
     spread = here.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     first = _searched(spread, at_home, k)
+    if shards > 1:
+        first = checkpointed(first)  # read twice: for the kth scores and for the result
     if shards == 1:
         found = first
     else:
