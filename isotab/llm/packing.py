@@ -6,8 +6,9 @@ one task: best fit over descending lengths, then a local search. The search take
 moves its pieces into the room of others, or swaps one of its pieces for one or two smaller ones of an underfull bin, so
 that each step increases the sum of squared fills; a bin that runs empty is saved. It goes over all underfull bins until
 no step is left or no fewer bins are possible. Pieces of one length are
-interchangeable, so a group is searched by lengths, not by pieces. A group leaves at most a few bins underfull where it has many
-short pieces, which is a fraction of a thousandth of its sequences; groups grow in number with the input, not in size.
+interchangeable, so a group is searched by lengths, not by pieces. Of several groups, each hands on its emptiest bins
+(OPEN_BINS at most): their pieces are dealt into groups anew and packed together, so what each group leaves open is
+filled by others. Groups grow in number with the input, not in size.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from isotab.llm.common import checkpointed, id_text, slices
 CAPACITY, END_ID = 1024, 2
 #: Pieces in a group, on average.
 GROUP = 20_000
+#: Bins that a group hands on: the emptiest, where they have room.
+OPEN_BINS = 64
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,29 +199,40 @@ def improve(bins: list[list[int]], capacity: int) -> list[list[int]]:
 def pack(parts: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:
     """The pieces with sequence_id and offset. `parts` is read twice: give a table or a checkpoint, whose rows keep their
     places. The place of a row takes part in the hash, so that even rows alike in all columns are dealt over groups."""
+    kind, names = parts.schema["doc_id"].dataType.simpleString(), ["doc_id", "piece", "start", "length", "ids_crc32"]
     groups = max(1, -(-parts.count() // group))
-    dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-    kind = parts.schema["doc_id"].dataType.simpleString()
+    if groups == 1:
+        return _packed(parts, capacity, 1, 0, kind).drop("open")
+    first = checkpointed(_packed(parts, capacity, groups, 0, kind))
+    rest = first.where("open").select(*names)
+    again = max(1, -(-rest.count() // group))
+    return first.where("not open").unionByName(_packed(rest, capacity, again, groups, kind)).drop("open")
+
+
+def _packed(parts: DataFrame, capacity: int, groups: int, offset: int, kind: str) -> DataFrame:
+    """The pieces packed in so many groups, with `open` for those of bins to hand on; numbers of groups start at `offset`."""
+    dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("int") + offset)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         number, length = int(pdf["part"].iloc[0]), pdf["length"].to_numpy()
         order = np.argsort(length, kind="stable")
         rows = {int(x): list(r) for x, r in zip(*_runs(length[order], order), strict=True)}
-        sequence, offset = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64)
+        sequence, place, open_ = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64), np.zeros(len(pdf), bool)
         k = 0
         for r in rows.pop(capacity, []):
-            sequence[r], offset[r] = k, 0
+            sequence[r], place[r] = k, 0
             k += 1
-        for b in pack_lengths([x for x, r in rows.items() for _ in r], capacity):
-            at = 0
+        bins = sorted(pack_lengths([x for x, r in rows.items() for _ in r], capacity), key=sum)
+        for i, b in enumerate(bins):
+            at, hand_on = 0, i < OPEN_BINS and sum(b) < capacity
             for x in sorted(b, reverse=True):
                 r = rows[x].pop()
-                sequence[r], offset[r] = k, at
+                sequence[r], place[r], open_[r] = k, at, hand_on
                 at += x
             k += 1
-        return pdf.drop(columns="part").assign(sequence_id=(number << 32) + sequence, offset=offset)
+        return pdf.drop(columns="part").assign(sequence_id=(number << 32) + sequence, offset=place, open=open_)
 
-    return dealt.groupBy("part").applyInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("part").applyInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean")
 
 
 def _runs(values: np.ndarray, order: np.ndarray):
