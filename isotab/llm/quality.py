@@ -5,8 +5,8 @@ each chunk, and each filter's largest response in the chunk is kept. A document
 responses; a small dense layer makes one probability of them. Only the winning window of each filter gets a gradient,
 so training costs little more than scoring.
 
-The network is trained on the driver from a bounded sample of labelled rows (TRAIN_ROWS rows, of each at most
-TRAIN_CHUNKS chunks spread over the text); scoring reads every chunk of every document on the executors.
+The network is trained on the driver from a bounded sample of labelled rows: at most TRAIN_ROWS rows of at most TRAIN_BYTES
+bytes together, each with all of its chunks. Scoring reads every chunk of every document on the executors.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from isotab.llm.common import id_text, slices
 
 CHUNK, OVERLAP = 1024, 64
 EMBED, WIDTH, STEP, FILTERS, HIDDEN = 8, 8, 2, 32, 16
-#: Bound on what training reads.
-TRAIN_ROWS, TRAIN_CHUNKS = 4000, 5
+#: Bounds on the sample that training reads.
+TRAIN_ROWS, TRAIN_BYTES = 4000, 64 << 20
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 #: Chunks that are scored at a time.
 BLOCK = 16
@@ -99,7 +99,8 @@ class ByteCnn:
         dx = dh @ self.dense.T
         doc = np.repeat(np.arange(len(y)), n)
         peak = top == x[doc, FILTERS:]
-        dtop = (dx[doc, :FILTERS] / n[doc, None] + dx[doc, FILTERS:] * peak) * (top > 0)
+        ties = np.add.reduceat(peak.astype(np.float32), starts)[doc]  # a window may stand in the overlap of two chunks
+        dtop = (dx[doc, :FILTERS] / n[doc, None] + dx[doc, FILTERS:] * peak / ties) * (top > 0)
         at = place * STEP
         rows = chunks[np.arange(len(chunks))[:, None, None], at[:, :, None] + np.arange(WIDTH)]  # chunk, filter, byte
         seen = self.embed[rows].reshape(len(chunks), FILTERS, WIDTH * EMBED)
@@ -141,25 +142,36 @@ def held_out(id_col: str) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> ByteCnn | float:
     """A network, or where the sample has fewer than two classes the share of ones in it (0.5 without any row).
 
-    The sample is the `rows` labelled rows, held-out ones aside, with the smallest hashes of their id. Ids or labels
-    that are NULL and labels other than 0 and 1 are passed over; an id with several labels takes the smallest.
+    The sample is the `rows` labelled ids, held-out ones aside, with the smallest hashes, as far as their texts have
+    TRAIN_BYTES bytes together; a text beyond that is passed over, never cut. Ids are of any type; ids or labels
+    that are NULL and labels other than 0 and 1 are passed over; an id with several labels takes the smallest, one
+    with several texts the one with the smallest hash.
     """
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id"))
     chosen = known.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = id_text(docs, id_col, text_col).join(F.broadcast(chosen), "id")  # at most `rows` rows
+    one = F.min(F.struct(F.xxhash64("text").alias("th"), F.octet_length("text").alias("size"))).alias("of")
+    sizes = texts.groupBy("id").agg(one).orderBy(F.xxhash64("id"), "id").select("id", "of.th", "of.size").collect()
+    taken, held = [], 0
+    for r in sizes:
+        if held + r["size"] <= TRAIN_BYTES:
+            taken.append((r["id"], r["th"]))
+            held += r["size"]
+    if not taken:
+        return 0.5
+    kind = chosen.schema["id"].dataType
+    named = docs.sparkSession.createDataFrame(taken, T.StructType([T.StructField("id", kind), T.StructField("th", T.LongType())]))
+    texts = texts.withColumn("th", F.xxhash64("text")).join(F.broadcast(named), ["id", "th"])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 out = []
                 for text in part.column("text").to_pylist():
-                    c = chunk_bytes(text.encode("utf-8", "replace"))
-                    take = np.unique(np.linspace(0, len(c) - 1, min(len(c), TRAIN_CHUNKS)).astype(int))
-                    out.append(c[take].tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), part.column("y"), pa.array(out, pa.binary())], names=["id", "y", "chunks"])
+                    out.append(chunk_bytes(text.encode("utf-8", "replace")).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array(out, pa.binary())], names=["id", "y", "chunks"])
 
-    kind = texts.schema["id"].dataType.simpleString()
-    got = texts.select(F.col("id").cast("long").alias("id") if kind != "bigint" else F.col("id"), "text", "y").mapInArrow(cut, "id long, y int, chunks binary").dropDuplicates(["id"]).toPandas().sort_values("id")
+    got = texts.mapInArrow(cut, f"id {kind.simpleString()}, y int, chunks binary").dropDuplicates(["id"]).toPandas().sort_values("id")
     y = got["y"].to_numpy()
     if len(set(y)) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -186,7 +198,7 @@ def with_score(docs: DataFrame, model: ByteCnn | float, text_col: str = "text")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted. A text's score depends on the text alone.
+    """One row per input row: doc_id, held_out, score, predicted. A text's score depends on the text alone (to rounding).
     A NULL id counts as learned from (false). An empty table gives an empty result; other columns are ignored."""
     model = train(docs, labels, id_col, text_col, label_col)
     out, _ = with_score(id_text(docs, id_col, text_col), model)
