@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 
 from isotab.llm.common import id_text, slices
 
-#: Pieces whose ids a worker keeps, and characters of the longest kept piece.
-CACHE_ITEMS, CACHE_CHARS = 600_000, 64
+#: Pieces whose ids a worker keeps (fewer where they are cheap to find again), and characters of the longest kept piece.
+CACHE_ITEMS, FAST_ITEMS, CACHE_CHARS = 800_000, 600_000, 64
 #: Symbols in one index.
 INDEX_SYMBOLS = 200_000
 #: Characters for which Python and the tokenizer agree on space, case and composition.
@@ -44,6 +44,8 @@ def byte_letters() -> dict[int, str]:
 class Bpe:
     """A tokenizer file's BPE model."""
 
+    items = CACHE_ITEMS
+
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
@@ -66,6 +68,9 @@ class Bpe:
             self.merges.append((vocab[a], vocab[b], vocab[a + b]))
             self.rank.setdefault(vocab[a] << 20 | vocab[b], r)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        self._first, self._last = np.array(self.first, np.int64), np.array(self.last, np.int64)
+        self._pair_keys = np.array(sorted(self.rank), np.int64)
+        self._pair_ranks = np.array([self.rank[k] for k in self._pair_keys.tolist()], np.int64)
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.tokens = [""] * size
         for text, i in [*vocab.items(), *self.special.items()]:
@@ -81,34 +86,32 @@ class Bpe:
         self._marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of each piece, through one pair occurrence index over all of them."""
-        first, last, rank = self.first, self.last, self.rank
-        symbols: list[int] = []
-        starts = []
-        index: dict[int, list[int]] = {}
-        for piece in pieces:
-            starts.append(at := len(symbols))
-            symbols += [first[b] for b in piece[:-1]]
-            symbols += [last[b] for b in piece[-1:]]
-            for i in range(at, len(symbols) - 1):
-                if (r := rank.get(symbols[i] << 20 | symbols[i + 1])) is not None:
-                    index.setdefault(r, []).append(i)
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s in starts:
-            if s < n:
-                before[s] = -1
-            if s:
-                after[s - 1] = -1
-        if n:
-            after[n - 1] = -1
-        active = list(index)
-        heapq.heapify(active)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, packed, through one pair occurrence index over all of them."""
+        text = np.frombuffer(b"".join(pieces), np.uint8)
+        n = len(text)
+        if not n:
+            return [b""] * len(pieces)
+        stops = np.cumsum([len(p) for p in pieces])
+        ends = np.unique(stops[stops > 0]) - 1
+        laid = self._first[text]
+        laid[ends] = self._last[text[ends]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends], before[ends[:-1] + 1] = -1, -1
+        # All positions of each mergeable pair, in order, under the pair's rank.
+        keys = laid[:-1] << 20 | laid[1:]
+        at = np.minimum(np.searchsorted(self._pair_keys, keys), len(self._pair_keys) - 1)
+        found = np.flatnonzero((self._pair_keys[at] == keys) & (after[:-1] >= 0)) if len(self._pair_keys) else np.empty(0, np.int64)
+        ranks = self._pair_ranks[at[found]]
+        order = np.argsort(ranks, kind="stable")
+        kinds, begins = np.unique(ranks[order], return_index=True)
+        index = {r: p.tolist() for r, p in zip(kinds.tolist(), np.split(found[order], begins[1:]), strict=True)} if len(kinds) else {}
+        symbols, after, before, rank, merges = laid.tolist(), after.tolist(), before.tolist(), self.rank.get, self.merges
+        active = list(index)  # ascending, so a heap
         while active:
             r = heapq.heappop(active)
             places = index.pop(r)
-            a, b, made = self.merges[r]
+            a, b, made = merges[r]
             if a == b:
                 places.sort()
             for p in places:
@@ -118,27 +121,27 @@ class Bpe:
                 after[p] = nxt = after[q]
                 if nxt >= 0:
                     before[nxt] = p
-                    if (k := rank.get(made << 20 | symbols[nxt])) is not None:
+                    if (k := rank(made << 20 | symbols[nxt])) is not None:
                         if k in index:
                             index[k].append(p)
                         else:
                             index[k] = [p]
                             heapq.heappush(active, k)
-                if (prev := before[p]) >= 0 and (k := rank.get(symbols[prev] << 20 | made)) is not None:
+                if (prev := before[p]) >= 0 and (k := rank(symbols[prev] << 20 | made)) is not None:
                     if k in index:
                         index[k].append(prev)
                     else:
                         index[k] = [prev]
                         heapq.heappush(active, k)
-        return [[s for s in symbols[a:b] if s >= 0] for a, b in zip(starts, [*starts[1:], n], strict=True)]
+        laid = np.array(symbols, np.int64)
+        packed = laid[laid >= 0].astype("<i4").tobytes()
+        cuts = (4 * np.concatenate([[0], np.cumsum(laid >= 0)])[np.concatenate([[0], stops])]).tolist()
+        return [packed[x:y] for x, y in zip(cuts, cuts[1:])]
 
     def _chunks(self, text: str) -> list[str]:
         """Parts of a text of common characters, none of which a piece crosses."""
         return unicodedata.normalize("NFC", text).lower().split() if self.words else _SPACED.findall(text)
 
-    def _pieces(self, chunk: str) -> list[bytes]:
-        return [p.encode() for p in self._piece.findall(chunk)]
-
     def _rare(self, text: str) -> list[bytes]:
         """Pieces of any text, by the tokenizer's own normaliser and pre-tokenizer."""
         if self._normal is not None:
@@ -154,7 +157,7 @@ class Bpe:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of int32."""
         known = self.cache
-        if len(known) > CACHE_ITEMS:
+        if len(known) > self.items:
             known.clear()
         plans, new, long = [], dict.fromkeys(()), {}
         for text in texts:
@@ -180,18 +183,25 @@ class Bpe:
         return out
 
     def _learn(self, chunks: list, known: dict, long: dict) -> None:
-        """Ids of new chunks of text (or, of rare texts, pieces), packed."""
+        """Ids of new chunks of text (or, of rare texts, pieces), packed. A piece is a chunk of its own, so those of it that
+        are known, from other chunks too, don't enter the index again."""
         at = 0
         while at < len(chunks):
-            todo, total = [], 0
+            todo, fresh, total = [], {}, 0
             while at < len(chunks) and total < INDEX_SYMBOLS:
-                todo.append((chunks[at], p := self._pieces(c) if isinstance(c := chunks[at], str) else [c]))
-                total += sum(map(len, p))
+                chunk = chunks[at]
+                parts = self._piece.findall(chunk) if isinstance(chunk, str) else [chunk]
+                for p in parts:
+                    if p not in known and p not in fresh and p not in long:
+                        fresh[p] = raw = p.encode() if isinstance(p, str) else p
+                        total += len(raw)
+                if len(parts) != 1 or parts[0] != chunk:
+                    todo.append((chunk, parts))
                 at += 1
-            ids = iter(self.encode_pieces([x for _, p in todo for x in p]))
-            for chunk, p in todo:
-                packed = np.fromiter((i for _ in p for i in next(ids)), dtype="<i4").tobytes()
-                (known if len(chunk) <= CACHE_CHARS else long)[chunk] = packed
+            for p, packed in zip(fresh, self.encode_pieces(list(fresh.values())), strict=True):
+                (known if len(p) <= CACHE_CHARS else long)[p] = packed
+            for chunk, parts in todo:
+                (known if len(chunk) <= CACHE_CHARS else long)[chunk] = b"".join([known[p] if p in known else long[p] for p in parts])
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that the tokenizer's decoder makes of the ids; without a decoder, its tokens joined by blanks."""
@@ -208,6 +218,8 @@ class FastBpe(Bpe):
     """The same ids, with new chunks encoded by tiktoken, where only the ids matter and not how they are found.
     For byte-level vocabularies whose ids are in the order of their merges."""
 
+    items = FAST_ITEMS
+
     def __init__(self, path: str):
         import tiktoken
 
@@ -247,7 +259,8 @@ def ids_array(ids: list[np.ndarray]) -> pa.ListArray:
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): whole texts, without special tokens added; a special token's own text becomes its id.
-    NULL is an empty text, which has no ids. Rows are independent: repeated ids and other columns don't matter."""
+    NULL is an empty text, which has no ids. Rows are independent: repeated ids and other columns don't matter. A text of
+    any length is encoded whole, its new pieces in indexes of about INDEX_SYMBOLS. An empty table gives an empty result."""
     return _mapped(docs, path, id_col, text_col, False)
 
 
