@@ -69,6 +69,21 @@ def test_bpe_property(text):
 _loaded = {}
 
 
+def test_bpe_small_indexes_and_tables(monkeypatch):
+    """Pieces that recur in other chunks, indexes of a few symbols and a table of pieces that is emptied again and again."""
+    monkeypatch.setattr(bpe, "INDEX_SYMBOLS", 50)
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 8)
+    r = random.Random(4)
+    texts = ["", "\x07\x08", "a" * 500, *(" ".join(r.choice(["don't", "end.", "end,", "end", "''s", "longerthanthetable!", "²½", "日本", "<|endoftext|>", "...", "a" * 40]) for _ in range(30)) for _ in range(200))]
+    for path in (WORD, BYTE):
+        model, tk = bpe.Bpe(path), tokenizers.Tokenizer.from_file(path)
+        model.items = 20
+        for at in range(0, len(texts), 7):
+            part = texts[at : at + 7]
+            assert [x.tolist() for x in model.encode(part)] == [tk.encode(t, add_special_tokens=False).ids for t in part]
+    assert model.encode_pieces([]) == [] and model.encode_pieces([b"", b"a", b""])[::2] == [b"", b""]
+
+
 def test_packing(spark):
     tk = tokenizers.Tokenizer.from_file(BYTE)
     rows = ODD + [(100 + k, " ".join(words(20 + 37 * k % 900, k))) for k in range(120)]
